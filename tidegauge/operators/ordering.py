@@ -13,7 +13,7 @@ part is a filter the file scan can use.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -155,47 +155,51 @@ class _Handful:
 
 @dataclass(frozen=True)
 class Splits:
-    """Split keys of one order, as literals; ``slots`` holds those that exist."""
+    """Split keys of one order, in ascending order of their position."""
 
     order: RowOrder
-    keys: tuple[tuple[Column, ...], ...]
+    found: _Handful
 
     @staticmethod
     def find(df: DataFrame, order: RowOrder, positions: Callable[[Column], Column]) -> Splits:
         found = find_splits(df, order, positions)
-        kinds = [found.schema[n].dataType for n in order.names]
-        rows = zip(found.values("slot"), zip(*[found.values(n) for n in order.names], strict=True), strict=True)
-        keys = [
-            tuple(F.lit(v).cast(kind) for v, kind in zip(key, kinds, strict=True))
-            for _, key in sorted(rows, key=lambda r: int(r[0]))
-        ]
-        return Splits(order, tuple(keys))
+        at = found.schema.names.index("slot")
+        return Splits(order, replace(found, rows=tuple(sorted(found.rows, key=lambda r: int(r[at])))))
+
+    def key(self, slot: int) -> list[Column] | None:
+        """The slot's split key as literals, None if the slot has no row."""
+        if slot >= len(self.found.rows):
+            return None
+        return [F.lit(self.found.values(n)[slot]).cast(self.found.schema[n].dataType) for n in self.order.names]
 
     def before(self, slot: int) -> Column:
         """Is the row before the split key? True for all rows if the slot has none."""
-        if slot >= len(self.keys):
+        key = self.key(slot)
+        if key is None:
             return F.lit(True)
-        key = self.keys[slot]
         # The first comparison alone can reach the file scan.
         return (self.order.levels[0] <= key[0]) & _less(self.order.levels, key)
 
     def from_(self, slot: int) -> Column:
         """Is the row at or after the split key?"""
-        if slot >= len(self.keys):
+        key = self.key(slot)
+        if key is None:
             return F.lit(False)
-        key = self.keys[slot]
         return (self.order.levels[0] >= key[0]) & ~_less(self.order.levels, key)
 
     def with_part(self, df: DataFrame, into: str = "part") -> DataFrame:
         """Add ``into``: how many split keys lie at or before the row."""
-        if not self.keys:
+        if not self.found.rows:
             return df.withColumn(into, F.lit(0))
-        kept = df.columns
-        literals = F.array(
-            *[F.struct(*[v.alias(n) for v, n in zip(key, self.order.names, strict=True)]) for key in self.keys]
+        kept, names = df.columns, self.order.names
+        packed = self.found.frame().agg(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("slot", *names))),
+                lambda s: F.struct(*[s[n].alias(n) for n in names]),
+            )
         )
-        keyed = df.withColumns({"_splits": literals, "_key": F.struct(*self.order.columns())})
-        return count_at_most(keyed, "_splits", "_key", len(self.keys), into).select(*kept, into)
+        keyed = df.withColumns({"_splits": packed.scalar(), "_key": F.struct(*self.order.columns())})
+        return count_at_most(keyed, "_splits", "_key", len(self.found.rows), into).select(*kept, into)
 
 
 def _less(levels: Sequence[Column], key: Sequence[Column]) -> Column:

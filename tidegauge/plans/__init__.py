@@ -1,0 +1 @@
+"""Whole monitoring jobs composed from the operators."""
