@@ -233,8 +233,8 @@ verdict as (
       count(*) filter (where feature <> 'pred' and flagged) as n_flagged,
       count(*) filter (where feature <> 'pred' and null_shift) as n_null_shift,
       max(null_delta) filter (where feature <> 'pred') as max_null_delta,
-      first(feature order by null_delta desc, slot) filter (where feature <> 'pred') as worst_null_feature,
-      first(feature order by psi desc, slot) filter (where feature <> 'pred') as top_feature,
+      first(feature order by round(null_delta, 9) desc, slot) filter (where feature <> 'pred') as worst_null_feature,
+      first(feature order by round(psi, 9) desc, slot) filter (where feature <> 'pred') as top_feature,
       max(psi) filter (where feature <> 'pred') as top_psi,
       max(psi) filter (where feature = 'pred') as pred_psi,
       max(sample_mean) filter (where feature = 'pred') as pred_mean_baseline,
@@ -426,8 +426,8 @@ ALL: dict[str, str] = {
       (p.card1 is not null)::tinyint as has_identity from tx t left join people p on t.card1 = p.card1""",
     "calendar_amount_features": f"""with {TX}, cents as (
       select *, round_even(("TransactionAmt" - floor("TransactionAmt")) * 100, 0)::float as amt_cents from tx)
-      select "TransactionID", round(("TransactionDT" / 3600e0) % 24e0, 6) as hour,
-        round(("TransactionDT" / 86400e0) % 7e0, 6) as dayofweek, round("TransactionDT" / 86400e0, 6) as day_index,
+      select "TransactionID", ("TransactionDT" / 3600e0) % 24e0 as hour,
+        ("TransactionDT" / 86400e0) % 7e0 as dayofweek, "TransactionDT" / 86400e0 as day_index,
         round(ln(1 + "TransactionAmt"), 6) as amt_log, amt_cents, (amt_cents = 0)::tinyint as amt_is_round
       from cents""",
     "category_codes": f"""with {TX},
@@ -437,7 +437,7 @@ ALL: dict[str, str] = {
         union all
         select 'e', "P_emaildomain", dense_rank() over (order by "P_emaildomain") - 1
         from (select distinct "P_emaildomain" from tx where "P_emaildomain" is not null))
-      select "TransactionID", coalesce(p.code, -1)::int as "ProductCD", coalesce(e.code, -1)::int as "P_emaildomain", addr1
+      select "TransactionID", coalesce(p.code, -1)::int as "ProductCD", coalesce(e.code, -1)::int as "P_emaildomain", "C1"
       from tx left join codes p on p.col = 'p' and p.value = tx."ProductCD"
       left join codes e on e.col = 'e' and e.value = tx."P_emaildomain\"""",
     "entity_key_frequency": f"""with {TX}, keyed as (
@@ -502,14 +502,14 @@ ALL: dict[str, str] = {
         VECTOR_DRIFT,
         "feature, round(psi, 6) as psi, round(ks_stat, 6) as ks_stat, round(p_raw, 6) as p_raw, flagged",
     )
-    + " order by drift_rows.psi desc, slot limit 10",
+    + " order by round(drift_rows.psi, 9) desc, slot limit 10",
     "worst_missing": _of_features(LINE_DRIFT, "feature, round(null_delta, 6) as null_delta")
-    + " order by drift_rows.null_delta desc, slot limit 1",
+    + " order by round(drift_rows.null_delta, 9) desc, slot limit 1",
     "profile_sample": f"""{LINE_DRIFT} select case when feature = 'pred' then '__pred__' else feature end as feature,
       round(v, 6) as value from ref""",
     "profile_summary": f"""{LINE_DRIFT} select (list_position({[*LINE_FEATURES, "pred"]}, feature) - 1)::int as slot,
       case when feature = 'pred' then '__pred__' else feature end as feature, n_rows, round(base_null, 6) as null_rate,
-      round(base_mean, 4) as mean, n_ref, round(sample_mean, 4) as sample_mean
+      round(case when feature = 'pred' then base_mean end, 4) as mean, n_ref, round(sample_mean, 4) as sample_mean
       from base_stats join ref_n using (rk, feature)""",
     "stored_profile_report": _of_features(LINE_DRIFT, REPORT),
     "null_experiment": NULL_EXPERIMENT,

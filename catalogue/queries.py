@@ -43,13 +43,13 @@ def join_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calendar_amount_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = feat.calendar_amount(inputs.transactions(spark, sf_dir))
-    return rounded(made, hour=6, dayofweek=6, day_index=6, amt_log=6).select(
+    return rounded(made, amt_log=6).select(
         "TransactionID", "hour", "dayofweek", "day_index", "amt_log", "amt_cents", "amt_is_round"
     )
 
 
 def category_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tx = inputs.transactions(spark, sf_dir).select("TransactionID", "ProductCD", "P_emaildomain", "addr1")
+    tx = inputs.transactions(spark, sf_dir).select("TransactionID", "ProductCD", "P_emaildomain", "C1")
     return feat.encode(tx)
 
 

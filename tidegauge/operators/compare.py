@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.kolmogorov import with_ks_pvalue
-from tidegauge.functions.missing import finite
+from tidegauge.functions.missing import finite, quoted
 from tidegauge.functions.search import count_at_most
 from tidegauge.operators.profile import PREDICTION, Profile
 from tidegauge.settings import DriftSettings
@@ -202,11 +202,13 @@ def with_significance(df: DataFrame, p: str, by: Sequence[str], alpha: float) ->
 
 
 def _unpivot(batch: DataFrame, profile: Profile, prediction: str | None, by: Sequence[str]) -> DataFrame:
-    columns = [f if f in batch.columns else None for f in profile.monitored] + [prediction]
+    present = set(batch.columns)
+    columns = [f if f in present else None for f in profile.monitored] + [prediction]
     absent = [slot for slot, c in enumerate(columns) if c is None]
-    values = [F.lit(None).cast("double") if c is None else finite(F.col(c)) for c in columns]
-    tall = batch.select(*by, F.posexplode(F.array(*values)).alias("slot", "value"))
-    return tall.where(~F.col("slot").isin(absent)) if absent else tall
+    values = ["CAST(NULL AS DOUBLE)" if c is None else f"try_cast({quoted(c)} AS DOUBLE)" for c in columns]
+    tall = batch.select(*by, F.posexplode(F.expr(f"array({', '.join(values)})")).alias("slot", "value"))
+    wanted = tall.where(~F.col("slot").isin(absent)) if absent else tall
+    return wanted.select(*by, "slot", finite(F.col("value")).alias("value"))
 
 
 def _statistics(df: DataFrame, bins: int, settings: DriftSettings) -> DataFrame:

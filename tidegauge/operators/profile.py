@@ -16,7 +16,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.missing import with_finite
+from tidegauge.functions.missing import finite_sql, quoted
 from tidegauge.operators.sampling import counts_by_prefix, sample_values
 from tidegauge.session import working_folder
 from tidegauge.settings import CALENDAR_FEATURES, N_MONITORED, SAMPLE_CAP, DriftSettings
@@ -32,7 +32,8 @@ class Profile:
     in that list and the prediction's slot is ``len(monitored)``. ``by`` names
     key columns when the frames hold several profiles side by side.
 
-    - ``table``: by..., slot, feature, n_rows, null_rate, mean, n_ref, sample_mean,
+    - ``table``: by..., slot, feature, n_rows, null_rate, mean (of the prediction,
+      over all rows), n_ref, sample_mean,
       ref_bins (sample count per PSI bin), and the arrays cuts, running and bins,
       the last two starting with the 0 below the first cut
     - ``samples``: by..., slot, value
@@ -87,11 +88,11 @@ def build_profile(
     row (within ``by``), that decides which values are sampled.
     """
     by, names = list(by), [*monitored, PREDICTION]
-    values = with_finite(
-        df.select(
-            *by, F.col(row_hash).alias("_hash"), *[F.col(f) for f in monitored], F.col(prediction).alias(PREDICTION)
-        ),
-        names,
+    sources = [*monitored, prediction]
+    values = df.selectExpr(
+        *[quoted(k) for k in by],
+        f"{quoted(row_hash)} AS _hash",
+        *[f"{finite_sql(source)} AS {quoted(name)}" for source, name in zip(sources, names, strict=True)],
     )
     counts = counts_by_prefix(values, names, "_hash", by)
     samples = sample_values(values, names, "_hash", cap, counts, by)
@@ -178,23 +179,27 @@ def _edges(bins: int) -> Column:
 def missing_rates(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Share of missing values per column over all rows: by..., feature, n_rows, null_rate."""
     columns, by = list(columns), list(by)
-    stats = [F.struct(F.count(F.col(c)).alias("n"), F.sum(F.col(c)).alias("total")) for c in columns]
-    counts = with_finite(df.select(*by, *columns), columns).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.array(*stats).alias("stats")
+    counts = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.expr(f"array({', '.join(f'count({finite_sql(c)})' for c in columns)})").alias("counts"),
     )
     return _feature_rows(counts, columns, by).select(*by, "feature", "n_rows", "null_rate")
 
 
 def _feature_rows(counts: DataFrame, names: list[str], by: list[str]) -> DataFrame:
-    """Per-feature totals of partial counts: by..., slot, feature, n_rows, null_rate, mean."""
-    n_rows, n = F.sum("n_rows"), F.sum("_stat.n")
+    """Per-feature totals of partial counts: by..., slot, feature, n_rows, null_rate, mean.
+
+    ``mean`` is that of the last name, from the column ``total``; NULL elsewhere.
+    """
+    n_rows, n = F.sum("n_rows"), F.sum("_n")
+    total = F.sum("total") if "total" in counts.columns else F.lit(None).cast("double")
     return (
-        counts.select(*by, "n_rows", F.posexplode("stats").alias("slot", "_stat"))
+        counts.select(*by, *[c for c in ("n_rows", "total") if c in counts.columns], F.posexplode("counts").alias("slot", "_n"))
         .groupBy(*by, "slot")
         .agg(
             n_rows.alias("n_rows"),
             F.try_divide(n_rows - n, n_rows).alias("null_rate"),
-            F.try_divide(F.sum("_stat.total"), n).alias("mean"),
+            F.when(F.col("slot") == len(names) - 1, F.try_divide(total, n)).alias("mean"),
         )
-        .withColumn("feature", F.element_at(F.array(*[F.lit(f) for f in names]), F.col("slot") + 1))
+        .withColumn("feature", F.element_at(F.lit(names), F.col("slot") + 1))
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions.missing import quoted
 from tidegauge.operators.ordering import HASH_GROUP_CHARS, RowOrder, find_splits
 
 
@@ -18,13 +19,14 @@ def row_hash(seed: int | Column, *row_key: str | Column) -> Column:
 
 
 def counts_by_prefix(df: DataFrame, features: Sequence[str], hash_: str, by: Sequence[str] = ()) -> DataFrame:
-    """One pass over the rows: by..., prefix, n_rows, stats (array of n and total per feature).
+    """One pass over the rows: by..., prefix, n_rows, counts (non-NULL values per feature), total (of the last).
 
     At most 65,536 rows per group, whatever the input's size.
     """
-    stats = [F.struct(F.count(F.col(f)).alias("n"), F.sum(F.col(f)).alias("total")) for f in features]
     return df.groupBy(*by, F.substring(hash_, 1, HASH_GROUP_CHARS).alias("prefix")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.array(*stats).alias("stats")
+        F.count(F.lit(1)).alias("n_rows"),
+        F.expr(f"array({', '.join(f'count({quoted(f)})' for f in features)})").alias("counts"),
+        F.sum(F.col(features[-1])).alias("total"),
     )
 
 
@@ -41,7 +43,7 @@ def sample_values(
     by = list(by)
     running = Window.partitionBy(*by, "slot").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
     reach = (
-        counts.select(*by, "prefix", F.posexplode("stats.n").alias("slot", "_n"))
+        counts.select(*by, "prefix", F.posexplode("counts").alias("slot", "_n"))
         .withColumn("_before", F.sum("_n").over(running) - F.col("_n"))
         .where(F.col("_before") < cap)
         .groupBy(*by, "slot")
@@ -56,7 +58,7 @@ def sample_values(
     else:
         near = df.where(prefix <= reach.agg(F.max("_reach")).scalar())
     values = (
-        near.select(*by, hash_, F.posexplode(F.array(*[F.col(f) for f in features])).alias("slot", "value"))
+        near.select(*by, hash_, F.posexplode(F.array(*features)).alias("slot", "value"))
         .where("value IS NOT NULL")
         .join(F.broadcast(reach), [*by, "slot"])
         .where(prefix <= F.col("_reach"))

@@ -23,7 +23,10 @@ def unchanged(df: DataFrame) -> DataFrame:
 
 def rescale_amount(df: DataFrame, amount: str = "TransactionAmt", factor: float = RESCALE_FACTOR) -> DataFrame:
     """A feed changes units: the amount and its logarithm move, cents and flag stay."""
-    return df.withColumn(amount, F.col(amount) * factor).withColumn("amt_log", F.log1p(amount))
+    kinds = {f.name: f.dataType for f in df.schema}
+    scaled = (F.col(amount) * F.lit(factor).cast(kinds[amount])).cast(kinds[amount])
+    logged = F.log1p(amount).cast(kinds.get("amt_log", "double"))
+    return df.withColumn(amount, scaled).withColumn("amt_log", logged)
 
 
 def share_of_rows(hash_: Column, share: float) -> Column:
