@@ -74,7 +74,7 @@ def transaction_order() -> RowOrder:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with a row digest and a stand-in prediction."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    digest = row_hash(SEED, *LINE_KEY, cents, F.to_date("l_shipdate"))
+    digest = row_hash(SEED, *LINE_KEY, cents, F.unix_date(F.to_date("l_shipdate")))
     price = F.col("l_extendedprice")
     return table(spark, sf_dir, "lineitem").select(
         *LINE_KEY,

@@ -44,7 +44,8 @@ prepared as (
 )
 
 LINE_HASH = """md5(concat_ws('|', 42, l_orderkey, l_linenumber, l_partkey, l_suppkey,
-      round(l_extendedprice * 100)::bigint, l_shipdate::date))"""
+      round(l_extendedprice * 100)::bigint,
+      date_diff('day', date '1970-01-01', l_shipdate::date)))"""
 
 LINES = f"""
 lines as (

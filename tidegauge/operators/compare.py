@@ -11,6 +11,7 @@ Cell numbers of a feature with cut points c1 < ... < cn: 2i-1 is "equals ci",
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from tidegauge.operators.profile import PREDICTION, Profile
 from tidegauge.settings import DriftSettings
 
 MISSING_CELL = -1
+CUT_BYTES = 8
+BROADCAST_AT_MOST = 256 * 1024 * 1024
 
 
 def cell_counts(batch: DataFrame, profile: Profile, prediction: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -37,10 +40,20 @@ def cell_counts(batch: DataFrame, profile: Profile, prediction: str | None = Non
 
 
 def located(batch: DataFrame, profile: Profile, prediction: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """One row per batch row and feature: by..., slot, value, cell."""
-    # The profile is at most (features + 1) x capacity numbers per key, so it can be broadcast.
-    cuts = F.broadcast(profile.table.select(*profile.by, "slot", "cuts"))
-    tall = _unpivot(batch, profile, prediction, by).join(cuts, [*profile.by, "slot"])
+    """One row per batch row and feature: by..., slot, value, cell.
+
+    The profile's cut points are broadcast. If they could exceed the bound, the
+    features go in blocks that keep within it; each block reads its own columns.
+    """
+    slots = len(profile.monitored) + 1
+    block = max(1, BROADCAST_AT_MOST // (profile.capacity * CUT_BYTES))
+    blocks = [range(first, min(first + block, slots)) for first in range(0, slots, block)]
+    return reduce(DataFrame.unionAll, [_located(batch, profile, prediction, by, b) for b in blocks])
+
+
+def _located(batch: DataFrame, profile: Profile, prediction: str | None, by: Sequence[str], slots: range) -> DataFrame:
+    cuts = profile.table.select(*profile.by, "slot", "cuts").where(F.col("slot").between(slots.start, slots.stop - 1))
+    tall = _unpivot(batch, profile, prediction, by, slots).join(F.broadcast(cuts), [*profile.by, "slot"])
     found = count_at_most(tall, "cuts", "value", profile.capacity, "_at_most")
     cell = F.expr(
         f"CASE WHEN value IS NULL THEN {MISSING_CELL}"
@@ -74,15 +87,17 @@ def feature_rows(
         .withColumn("_all", F.sum("_n").over(whole))
     )
     ref = profile.table.select(*profile.by, "slot", "running", "bins", F.col("n_ref").alias("_n_ref"))
-    placed = stepped.join(F.broadcast(ref), [*profile.by, "slot"])
+    # Joined on counts, not on rows, so any join will do where the profile is too big to broadcast.
+    fits = (len(profile.monitored) + 1) * profile.capacity * 2 * CUT_BYTES <= BROADCAST_AT_MOST
+    placed = stepped.join(F.broadcast(ref) if fits else ref, [*profile.by, "slot"])
     # Between two cells with rows only the reference steps, so the largest gap lies
     # at a cell or right before one.
     gap = F.expr(
         "CASE WHEN _n > 0 THEN greatest("
-        "abs(get(running, CAST(floor((cell + 1) / 2) AS INT)) / _n_ref - _running / _all),"
-        "abs(get(running, CAST(floor(cell / 2) AS INT)) / _n_ref - (_running - _n) / _all)) END"
+        "abs(get(running, shiftright(cell + 1, 1)) / _n_ref - _running / _all),"
+        "abs(get(running, shiftright(cell, 1)) / _n_ref - (_running - _n) / _all)) END"
     )
-    bin_ = F.expr("CASE WHEN _n > 0 THEN get(bins, CAST(floor((cell + 1) / 2) AS INT)) END")
+    bin_ = F.expr("CASE WHEN _n > 0 THEN get(bins, shiftright(cell + 1, 1)) END")
     stats = (
         placed.select(*group, "n", "_n", "total", gap.alias("_gap"), bin_.alias("_bin"))
         .groupBy(*group)
@@ -201,12 +216,17 @@ def with_significance(df: DataFrame, p: str, by: Sequence[str], alpha: float) ->
     )
 
 
-def _unpivot(batch: DataFrame, profile: Profile, prediction: str | None, by: Sequence[str]) -> DataFrame:
+def _unpivot(
+    batch: DataFrame, profile: Profile, prediction: str | None, by: Sequence[str], slots: range
+) -> DataFrame:
     present = set(batch.columns)
     columns = [f if f in present else None for f in profile.monitored] + [prediction]
-    absent = [slot for slot, c in enumerate(columns) if c is None]
+    absent = [slot for slot in slots if columns[slot] is None]
     values = ["CAST(NULL AS DOUBLE)" if c is None else f"try_cast({quoted(c)} AS DOUBLE)" for c in columns]
-    tall = batch.select(*by, F.posexplode(F.expr(f"array({', '.join(values)})")).alias("slot", "value"))
+    chosen = F.expr(f"array({', '.join(values[slots.start : slots.stop])})")
+    tall = batch.select(*by, F.posexplode(chosen).alias("slot", "value"))
+    if slots.start:
+        tall = tall.withColumn("slot", F.col("slot") + slots.start)
     wanted = tall.where(~F.col("slot").isin(absent)) if absent else tall
     return wanted.select(*by, "slot", finite(F.col("value")).alias("value"))
 

@@ -5,10 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.operators.compare import compare, features_only, flagged_under, missing_columns, verdict
+from tidegauge.operators.compare import (
+    BROADCAST_AT_MOST,
+    CUT_BYTES,
+    compare,
+    flagged_under,
+    missing_columns,
+    verdict,
+)
 from tidegauge.operators.ordering import RowOrder, Splits, baseline_windows
 from tidegauge.operators.profile import PREDICTION, Profile, build_profile
 from tidegauge.operators.ranking import roc_auc
@@ -25,8 +32,7 @@ from tidegauge.settings import (
     DriftSettings,
 )
 
-PROFILE_BYTES_AT_MOST = 256 * 1024 * 1024
-BYTES_PER_CUT = 24  # value, running count and bin
+BYTES_PER_CUT = 3 * CUT_BYTES  # value, running count and bin
 
 
 def null_experiment(
@@ -47,7 +53,7 @@ def null_experiment(
     profiles together fit the broadcast bound, else in as few blocks as needed.
     """
     per_trial = (len(monitored) + 1) * (cap + settings.psi_bins) * BYTES_PER_CUT
-    block = max(1, PROFILE_BYTES_AT_MOST // per_trial)
+    block = max(1, BROADCAST_AT_MOST // per_trial)
     halves = random_halves(df.select(*_key_columns(df, row_key), *monitored, prediction), row_key, trials, seed)
     blocks = [
         _null_block(halves.where(F.col("trial").between(first, first + block - 1)), monitored, prediction, cap, settings)
