@@ -187,8 +187,8 @@ def drift_correlations(report: DataFrame) -> DataFrame:
     """Correlation of drift measures with lost AUC; NULL where a measure never moves."""
 
     def correlation(measure: str) -> Column:
-        moving = (F.stddev_samp(measure) > 0) & (F.stddev_samp("auc_drop") > 0)
-        return F.when(moving, F.corr(measure, "auc_drop"))
+        spread = F.stddev_pop(measure) * F.stddev_pop("auc_drop")
+        return F.try_divide(F.covar_pop(measure, "auc_drop"), spread)
 
     return report.agg(
         correlation("share_flagged").alias("corr_share_auc_drop"),
