@@ -533,8 +533,8 @@ ALL: dict[str, str] = {
     "scenario_backtest": SCENARIOS,
     "rolling_prediction_mean": f"""with {LOG} select event_id, pred,
       round(avg(pred) over (order by ts, event_id rows between 49 preceding and current row), 6) as rolling_mean from log""",
-    "log_counters": f"""with {LOG} select count(*) as requests_served, count(distinct event_type) as n_event_types,
-      min(ts) as first_ts, max(ts) as last_ts from log""",
+    "log_counters": f"""with {LOG} select 'scorer-' || event_type as model_version, count(*) as requests_served,
+      2::int as n_features, 1::int as monitored_features from log group by event_type""",
     "prediction_log_roundtrip": f"""with {LOG} select ts::date as day, 'scorer-v1' as model_version, count(*) as n,
       round(avg(pred), 6) as mean_pred, round(avg(k), 6) as mean_k from log group by all""",
     "report_roundtrip": f"{CALIBRATION} select * from calibrated",

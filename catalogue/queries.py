@@ -323,12 +323,8 @@ def rolling_prediction_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.log(spark, sf_dir).agg(
-        F.count(F.lit(1)).alias("requests_served"),
-        F.count_distinct("event_type").alias("n_event_types"),
-        F.min("ts").cast("timestamp_ntz").alias("first_ts"),
-        F.max("ts").cast("timestamp_ntz").alias("last_ts"),
-    )
+    log = inputs.log(spark, sf_dir).withColumn("model_version", F.concat(F.lit("scorer-"), "event_type"))
+    return tables.service_counters(log, ["k", "value"], log_profile(spark, sf_dir))
 
 
 def prediction_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

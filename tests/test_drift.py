@@ -79,6 +79,12 @@ def test_no_common_column(spark, two_normals):
     assert compare(batch, two_normals).collect() == []
 
 
+def test_without_predictions_only_features_count(spark, two_normals):
+    rows = compare(two_normals_batch(spark).drop("pred"), two_normals)
+    (report,) = verdict(rows).collect()
+    assert report.n_features == 2 and report.pred_psi == 0.0 and report.pred_mean_batch is None and not report.drifted
+
+
 def test_prediction_drift_alone_alarms(spark, two_normals):
     batch = two_normals_batch(spark).withColumn("pred", F.col("pred") + 0.5)
     (report,) = outcome(batch, two_normals)

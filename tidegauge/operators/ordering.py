@@ -194,7 +194,7 @@ class Splits:
         kept, names = df.columns, self.order.names
         packed = self.found.frame().agg(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("slot", *names))),
+                F.sort_array(F.collect_list(F.struct("slot", *names))),
                 lambda s: F.struct(*[s[n].alias(n) for n in names]),
             )
         )

@@ -111,7 +111,7 @@ def profile_from_samples(
     ``features`` (by..., slot, feature, n_rows, null_rate, mean)."""
     group = [*by, "slot"]
     points = _cut_points(samples, group, bins)
-    listed = F.array_sort(F.collect_list(F.struct("value", "running", "bin")))
+    listed = F.sort_array(F.collect_list(F.struct("value", "running", "bin")))
     n = F.sum("n")
     summary = points.groupBy(*group).agg(
         n.alias("n_ref"),

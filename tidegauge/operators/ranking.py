@@ -26,7 +26,7 @@ def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), range
     at = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     values = df.select(*by, F.col(score).cast("double").alias("_score"), F.col(label).cast("bigint").alias("_label"))
     cuts = values.groupBy(*by).agg(
-        F.array_sort(F.array_distinct(F.percentile_approx("_score", at, F.lit(1000)))).alias("_cuts")
+        F.sort_array(F.array_distinct(F.percentile_approx("_score", at, F.lit(1000)))).alias("_cuts")
     )
     counted = values.groupBy(*by, "_score").agg(
         F.sum("_label").alias("_pos"), F.sum(1 - F.col("_label")).alias("_neg")

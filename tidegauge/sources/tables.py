@@ -86,6 +86,15 @@ def read_log(spark: SparkSession, path: str, monitored: Sequence[str]) -> DataFr
     return raw.withColumn("ts", F.timestamp_seconds("ts"))
 
 
+def service_counters(log: DataFrame, columns: Sequence[str], profile: Profile | None) -> DataFrame:
+    """Per model version: requests served, model columns and monitored features (0 without a profile)."""
+    return log.groupBy("model_version").agg(
+        F.count(F.lit(1)).alias("requests_served"),
+        F.lit(len(columns)).alias("n_features"),
+        F.lit(len(profile.monitored) if profile else 0).alias("monitored_features"),
+    )
+
+
 def write_report(df: DataFrame, path: str, format_: str = "csv") -> None:
     """Replace a report. Arrays become text in CSV, which has no arrays."""
     flat = df
