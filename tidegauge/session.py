@@ -45,5 +45,9 @@ def working_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path inside the shared folder."""
-    return f"{working_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path inside the shared folder, deleted when the application ends."""
+    path = f"{working_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    shared = context._jvm.org.apache.hadoop.fs.Path(path)
+    shared.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(shared)
+    return path
