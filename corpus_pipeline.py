@@ -6,24 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import queries, simhash
+from tidegauge.llm import langid, mixing, queries, secretscan, simhash
 from tidegauge.llm.common import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or whose language stays unsure, go."""
+    return langid.keep_identified(docs, queries.language_model(docs))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: that of the smallest id."""
     return simhash.keep_one(docs)
 
 
+def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are cut out of the texts; no document goes."""
+    forest = secretscan.train(secretscan.labelled_findings(spark))
+    return secretscan.redact(docs, forest, path="source", n_chars="n_chars")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources take them, shuffled."""
+    return mixing.mix(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document."""
     return queries.bpe_digests(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify_language),
     ("simhash_near_dedup", near_dedup),
+    ("secret_scan", remove_secrets),
+    ("source_mix", mix_sources),
     ("bpe_encode", encode),
 ]
 

@@ -8,14 +8,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, simhash
-from tidegauge.llm.common import table
+from tidegauge.llm import bpe, langid, mixing, secretscan, simhash
+from tidegauge.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 4, 2
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_amounts(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def language_model(docs: DataFrame) -> langid.LanguageModel:
+    """Fitted on the documents outside the held-out fold."""
+    return langid.train(docs.where(fold("doc_id", LANGUAGE_FOLDS) != LANGUAGE_HELD_OUT))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), language_model(docs))
+    held_out = F.coalesce(fold("doc_id", LANGUAGE_FOLDS) == LANGUAGE_HELD_OUT, F.lit(True))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -36,7 +56,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every document; a document's source stands for its path."""
+    forest = secretscan.train(secretscan.labelled_findings(spark))
+    return secretscan.scan(table(spark, sf_dir, "documents"), forest, path="source")
+
+
 ALL: dict[str, Query] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op5_language_id": op5_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_bpe": op8_bpe,
+    "op10_secret_scan": op10_secret_scan,
 }
