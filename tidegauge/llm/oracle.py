@@ -1,3 +1,20 @@
 """SQL for the queries of this subpackage that SQL can express."""
 
-ALL: dict[str, str] = {}
+OP9_NEAREST_VECTORS = """
+WITH v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+      AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           list_dot_product(q.x, c.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(c.x, c.x))) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ALL: dict[str, str] = {"op9_nearest_vectors": OP9_NEAREST_VECTORS}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, langid, mixing, secretscan, simhash
+from tidegauge.llm import ann, bpe, langid, mixing, secretscan, simhash
 from tidegauge.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of every document; a document's source stands for its path."""
     forest = secretscan.train(secretscan.labelled_findings(spark))
@@ -67,5 +72,6 @@ ALL: dict[str, Query] = {
     "op5_language_id": op5_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_bpe": op8_bpe,
+    "op9_nearest_vectors": op9_nearest_vectors,
     "op10_secret_scan": op10_secret_scan,
 }
