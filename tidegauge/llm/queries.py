@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import ann, bpe, langid, mixing, secretscan, simhash
+from tidegauge.llm import ann, bpe, langid, mixing, secretscan, simhash, toxicity
 from tidegauge.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,17 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+TOXICITY_FOLDS, TOXICITY_HELD_OUT = 5, 0
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.learn(docs, labels.where(fold("doc_id", TOXICITY_FOLDS) != TOXICITY_HELD_OUT))
+    found = toxicity.score(docs.select("doc_id", "text"), lexicon)
+    held_out = F.coalesce(fold("doc_id", TOXICITY_FOLDS) == TOXICITY_HELD_OUT, F.lit(True))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "hits")
+
+
 def language_model(docs: DataFrame) -> langid.LanguageModel:
     """Fitted on the documents outside the held-out fold."""
     return langid.train(docs.where(fold("doc_id", LANGUAGE_FOLDS) != LANGUAGE_HELD_OUT))
@@ -69,6 +80,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_toxicity": op3_toxicity,
     "op5_language_id": op5_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_bpe": op8_bpe,
