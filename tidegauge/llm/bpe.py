@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tidegauge.llm.common import fresh, text_or_empty, word_blocks
 
 # Words kept with their encoding in each Python worker; beyond it the store starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 NO_PAIR = 1 << 62
 
 ROUND_TRIP = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
