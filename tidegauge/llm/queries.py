@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import ann, bpe, langid, mixing, secretscan, simhash, toxicity
+from tidegauge.llm import ann, bpe, langid, licenses, mixing, quality_rules, secretscan, simhash, site_quality, toxicity
 from tidegauge.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("failed_rules", F.array_join("failed_rules", ","))
+
+
 TOXICITY_FOLDS, TOXICITY_HELD_OUT = 5, 0
 
 
@@ -35,6 +40,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "hits")
 
 
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is its host, its language in that source the path."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return site_quality.classify(docs, labels, host="source", path="lang")
+
+
 def language_model(docs: DataFrame) -> langid.LanguageModel:
     """Fitted on the documents outside the held-out fold."""
     return langid.train(docs.where(fold("doc_id", LANGUAGE_FOLDS) != LANGUAGE_HELD_OUT))
@@ -47,6 +58,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -80,8 +95,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
+    "op4_site_quality": op4_site_quality,
     "op5_language_id": op5_language_id,
+    "op6_license_scan": op6_license_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_bpe": op8_bpe,
     "op9_nearest_vectors": op9_nearest_vectors,

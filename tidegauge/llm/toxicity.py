@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.llm.common import fresh, quoted, stored
+from tidegauge.llm.logistic import fit_logistic
 
 # Letters of other scripts that look like Latin ones, letters that
 # decompose to nothing, and signs that stand for letters inside a word.
@@ -218,7 +219,7 @@ def learn(
     found = sample.select("id", "toxic", found_weights(lexicon, "text").alias("f")).select("id", "toxic", "f.*").collect()
     found.sort(key=lambda r: (r["id"], r["toxic"], r["weight"], r["n_words"]))
     x = inputs_of(np.array([r["weight"] for r in found]), np.array([r["n_words"] for r in found], float))
-    return Lexicon(lexicon.weights, lexicon.exceptions, _logistic(x, np.array([r["toxic"] for r in found], float)), settings)
+    return Lexicon(lexicon.weights, lexicon.exceptions, fit_logistic(x, np.array([r["toxic"] for r in found], float)), settings)
 
 
 def _exceptions(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:
@@ -251,20 +252,6 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:
     return frozenset(r["phrase"] for r in rows)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic regression by Newton steps with a small penalty."""
-    slopes = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ slopes, -30, 30)))
-        gradient = x.T @ (y - p) - 0.01 * slopes
-        curvature = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(slopes))
-        step = np.linalg.solve(curvature, gradient)
-        slopes += step
-        if np.abs(step).max() < 1e-9:
-            break
-    return tuple(map(float, slopes))
-
-
 def found_weights(lexicon: Lexicon, text: str) -> Column:
     """A struct column (weight, hits, n_words) for whole texts; zeros for null and empty ones."""
 
