@@ -249,7 +249,7 @@ def with_findings(docs: DataFrame, forest: Forest, name: str, text: str = "text"
     empty texts have an empty array. A null path counts as empty.
     """
     whole = F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
-    gaps, hits, begins, steps = fresh(docs, "_gaps", "_hits", "_begins", "_steps")
+    gaps, hits = fresh(docs, "_gaps", "_hits")
     has = whole.rlike(CANDIDATE)
     made = docs.withColumns(
         {
@@ -257,17 +257,25 @@ def with_findings(docs: DataFrame, forest: Forest, name: str, text: str = "text"
             gaps: F.when(has, F.split(whole, CANDIDATE, -1)).otherwise(F.array().cast("array<string>")),
         }
     )
-    lengths = F.zip_with(F.slice(F.col(gaps), 1, F.size(hits)), F.col(hits), lambda g, h: (F.length(g) + F.length(h)).cast("bigint"))
-    made = made.withColumn(steps, lengths).withColumn(begins, _offsets(F.col(steps)))
+    n = F.size(hits)
+    lengths = F.zip_with(F.slice(F.col(gaps), 1, n), F.col(hits), lambda g, h: (F.length(g) + F.length(h)).cast("bigint"))
     where = F.lit("") if path is None else F.coalesce(F.col(quoted(path)).cast("string"), F.lit(""))
+    # Everything an element needs travels with it: a reference from inside a lambda to
+    # another array would be worked out anew for each element.
+    parts = F.arrays_zip(
+        F.col(hits).alias("hit"),
+        F.slice(F.col(gaps), 1, n).alias("gap"),
+        F.slice(F.col(gaps), 2, n).alias("next"),
+        _offsets(lengths).alias("begin"),
+    )
 
-    def finding(hit: Column, i: Column) -> Column:
-        gap = F.col(gaps)[i]
+    def finding(part: Column) -> Column:
+        hit, gap = part["hit"], part["gap"]
         value = F.regexp_extract(hit, VALUE, 0)
         prefix = F.length(hit) - F.length(value)
         before = F.concat(F.right(gap, F.lit(CONTEXT_CHARS)), F.substring(hit, F.lit(1), prefix))
-        after = F.left(F.col(gaps)[i + 1], F.lit(CONTEXT_CHARS))
-        start = F.col(begins)[i] + F.length(gap) + prefix
+        after = F.left(part["next"], F.lit(CONTEXT_CHARS))
+        start = part["begin"] + F.length(gap) + prefix
         return F.struct(
             start.alias("start"),
             (start + F.length(value)).alias("stop"),
@@ -275,7 +283,7 @@ def with_findings(docs: DataFrame, forest: Forest, name: str, text: str = "text"
             features(value, before, after, where).alias("features"),
         )
 
-    bare = F.transform(F.col(hits), finding)
+    bare = F.transform(parts, finding)
     scored = F.transform(bare, lambda c: F.struct(c["start"], c["stop"], c["value"], forest.score(c["features"]).alias("score")))
     verdict = F.transform(
         scored,
