@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.session import scratch_path
@@ -63,7 +63,17 @@ def word_blocks(data: bytes, size: int = 1 << 18) -> Iterator[list[bytes]]:
         yield words
 
 
-def lowest_digests(df: DataFrame, key: Sequence[Column], n: int) -> DataFrame:
-    """At most ``n`` rows, those with the lowest digests of ``key``: the same rows on every run."""
-    (digest,) = fresh(df, "_digest")
-    return df.withColumn(digest, F.xxhash64(F.lit(17), *key)).orderBy(digest, *key).limit(n).drop(digest)
+def digest_sample(rows: DataFrame, by: str, n: int, seed: int, key: str) -> DataFrame:
+    """Up to ``n`` rows for each value of ``by``, those with the lowest digests of ``key``: the same on every run.
+
+    Counts tell below which digest the sample must lie, with a margin of eight standard
+    deviations, so only little more than the sample is shuffled to be ranked.
+    """
+    digest, share, rank = fresh(rows, "_digest", "_share", "_rank")
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias(share))
+    reach = counts.withColumn(share, (n + 8 * n**0.5 + 64) / F.col(share))
+    keyed = rows.withColumn(digest, F.xxhash64(F.lit(seed), key))
+    # Digests are spread evenly over 64 bits.
+    near = keyed.join(reach, by).where(F.col(digest) / 2.0**64 + 0.5 < F.col(share))
+    ranked = near.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(digest, key)))
+    return ranked.where(F.col(rank) <= n).drop(digest, share, rank)

@@ -8,11 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import fresh, quoted, stored
+from tidegauge.llm.common import digest_sample, fresh, quoted, stored
 
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -114,13 +114,9 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 def _sample(docs: DataFrame, settings: LanguageSettings, text: str, lang: str, row_id: str) -> DataFrame:
     """Bags of a bounded sample: lang, digest, bags. Texts are read for chosen rows only."""
     known = docs.where(F.col(quoted(lang)).isNotNull() & F.col(quoted(text)).isNotNull())
-    known = known.select(
-        F.col(quoted(row_id)).alias("id"),
-        F.col(quoted(lang)).cast("string").alias("lang"),
-        F.xxhash64(F.lit(settings.seed), F.col(quoted(row_id))).alias("digest"),
-    )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("digest", "id"))
-    chosen = known.withColumn("rank", rank).where(F.col("rank") <= settings.per_language).select("id", "lang", "digest")
+    known = known.select(F.col(quoted(row_id)).alias("id"), F.col(quoted(lang)).cast("string").alias("lang"))
+    chosen = digest_sample(known, "lang", settings.per_language, settings.seed, "id")
+    chosen = chosen.select("id", "lang", F.xxhash64(F.lit(settings.seed), "id").alias("digest"))
     # per_language rows for each language at most.
     chosen = F.broadcast(stored(chosen.distinct(), "language_sample"))
 
@@ -155,6 +151,8 @@ def train(
     rows = _sample(docs, settings, text, lang, row_id).collect()
     rows = sorted(rows, key=lambda r: (r["digest"], r["id"], r["lang"]))
     languages = tuple(sorted({r["lang"] for r in rows}))
+    if not languages:
+        return LanguageModel((), np.zeros((1 << settings.bits, 0)), np.zeros(0), 1.0, settings)
     place = {name: i for i, name in enumerate(languages)}
     n_held = round(len(rows) * settings.calibration_share)
 
@@ -182,7 +180,7 @@ def _descend(
     embeddings = random.uniform(-1, 1, (1 << settings.bits, settings.dim)).astype(np.float32) / settings.dim
     output = np.zeros((settings.dim, n_languages), np.float32)
     bias = np.zeros(n_languages, np.float32)
-    steps = settings.epochs * len(examples)
+    steps = settings.epochs * len(examples)  # none if too little was sampled
     for step in range(steps):
         if step % len(examples) == 0:
             order = random.permutation(len(examples))

@@ -13,10 +13,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import quoted, stored
+from tidegauge.llm.common import digest_sample, quoted, stored
 from tidegauge.llm.logistic import fit_logistic
 from tidegauge.llm.statistics import share, with_statistics
 
@@ -66,8 +66,7 @@ def _known(labels: DataFrame, id_column: str) -> DataFrame:
 
 def fit_evidence(statistics: DataFrame, labels: DataFrame, settings: SiteSettings) -> tuple[float, ...]:
     """Slopes of the classifier, less the log odds of the sample's labels; zeros without both labels."""
-    rank = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64(F.lit(settings.seed), "doc_id"), "doc_id"))
-    chosen = labels.withColumn("rank", rank).where(F.col("rank") <= settings.per_label).drop("rank")
+    chosen = digest_sample(labels, "quality", settings.per_label, settings.seed, "doc_id")
     rows = statistics.join(chosen, "doc_id").select("doc_id", "quality", F.array(*inputs()).alias("x")).distinct().collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["x"]))
     x, y = np.array([r["x"] for r in rows]).reshape(len(rows), len(inputs())), np.array([r["quality"] for r in rows], float)

@@ -17,11 +17,11 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import fresh, quoted, stored
+from tidegauge.llm.common import digest_sample, fresh, quoted, stored
 from tidegauge.llm.logistic import fit_logistic
 
 # Letters of other scripts that look like Latin ones, letters that
@@ -72,22 +72,23 @@ def pieces(text: str) -> Iterator[tuple[str, bool, bool]]:
     """Folded parts of a text, whether the first word was counted before, and whether the last comes again.
 
     Parts end at blanks and share two words, so each word is once seen with both its
-    neighbours; a very long text is never folded as a whole.
+    neighbours; a very long text is never folded as a whole. Only a word longer than a
+    part is cut.
     """
-    carried = ""
+    carried: list[str] = []
     start = 0
     while True:
         stop = len(text)
         if stop - start > PIECE_CHARS:
             stop = start + PIECE_CHARS
-            # A word longer than a part is cut at the part's end.
-            stop = max(text.rfind(" ", start, stop), text.rfind("\n", start, stop), start) + 1 if " " in text[start:stop] or "\n" in text[start:stop] else stop
-        folded = fold_text(carried + text[start:stop])
-        again = stop < len(text)
-        yield folded, bool(carried), again
-        if not again:
+            blank = max(text.rfind(" ", start, stop), text.rfind("\n", start, stop))
+            stop = blank + 1 if blank >= start else stop
+        folded = fold_text(" ".join([*carried, text[start:stop]]))
+        again = stop < len(text) and bool(folded.strip())
+        yield folded, len(carried) == 2, again
+        if stop == len(text):
             return
-        carried, start = " ".join(folded.split()[-2:]) + " ", stop
+        carried, start = folded.split()[-2:], stop
 
 
 @dataclass(frozen=True)
@@ -120,8 +121,8 @@ class Lexicon:
                 elif weight > best.get(begin, 0.0):
                     best[begin] = weight
             n_words = folded.count(" ") - 1 if folded.strip() else 0
-            first = folded.index(" ", 1) if seen and n_words > 1 else 0
-            last = folded.rindex(" ", 0, len(folded) - 1) if again and n_words > 1 else len(folded)
+            first = folded.index(" ", 1) if seen else 0
+            last = folded.rindex(" ", 0, len(folded) - 1) if again else len(folded)
             # The covered words: a word begins at a blank inside the phrase, its last blank excepted.
             gone = {i for b, e in covered for i in best if b <= i < e}
             counted = {i: w for i, w in best.items() if first <= i < last and i not in gone}
@@ -145,8 +146,7 @@ def inputs_of(weight: np.ndarray, n_words: np.ndarray) -> np.ndarray:
 def _sample(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings, id_column: str, text: str) -> DataFrame:
     """toxic, text of a bounded sample of labelled documents, as even over the labels as can be."""
     known = labels.where("toxic in (0, 1)").groupBy(F.col(quoted(id_column)).alias("id")).agg(F.max("toxic").alias("toxic"))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit(settings.seed), "id"), "id"))
-    chosen = stored(known.withColumn("rank", rank).where(F.col("rank") <= settings.per_label).select("id", "toxic"), "toxic_labels")
+    chosen = stored(digest_sample(known, "toxic", settings.per_label, settings.seed, "id").select("id", "toxic"), "toxic_labels")
     # At most 2 * per_label rows.
     rows = docs.select(F.col(quoted(id_column)).alias("id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
     return stored(rows.join(F.broadcast(chosen), "id").select("id", "toxic", "text"), "toxic_sample")
