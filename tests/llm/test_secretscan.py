@@ -1,0 +1,80 @@
+"""Op 10: candidates, places, redaction, and the forest on findings it has not seen."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidegauge.llm import secretscan
+from tidegauge.llm.secretscan import ForestSettings, labelled_findings, redact, scan, train
+
+SECRET = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+SF_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return train(labelled_findings(spark))
+
+
+def texts(spark, *rows):
+    return spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").withColumn("source", F.lit("src"))
+
+
+def found(spark, forest, *rows):
+    out = {}
+    for r in scan(texts(spark, *rows), forest, path="source").collect():
+        assert rows[r.doc_id][r.start : r.stop] == r.value
+        out.setdefault(r.doc_id, []).append((r.value, r.is_secret))
+    return out
+
+
+def test_what_is_a_secret(spark, forest):
+    rows = [
+        f'é \U0001f600 the token = "{SECRET}" and more',
+        f"as of commit {SECRET} it is fixed",
+        "card 4845168114407329 was used",
+        'password = "correcthorse9battery"',
+        'api_key: "YOUR_api_example_key_123"',
+        "no candidate here",
+        f'TOKEN = "{SECRET.upper()}"!! {SECRET.upper()[:16].translate(str.maketrans("ABCDEF", "123456"))}',
+    ]
+    got = found(spark, forest, *rows)
+    assert got[0] == [(SECRET, True)]
+    assert got[1] == [(SECRET, False)] and got[2] == [("4845168114407329", False)]
+    assert got[4] == [("YOUR_api_example_key_123", False)] and 5 not in got
+    assert [s for _, s in got[6]] == [True, False]
+
+
+def test_forest_on_unseen_findings(spark):
+    labelled = labelled_findings(spark).withColumn("fold", F.crc32("value") % 4)
+    forest = train(labelled.where("fold <> 0"), ForestSettings())
+    unseen = labelled.where("fold = 0")
+    columns = [F.col(c) for c in ("value", "before", "after", "path")]
+    scored = unseen.select("label", forest.score(secretscan.features(*columns)).alias("score")).collect()
+    right = sum((r.score >= 0.5) == (r.label == 1) for r in scored)
+    assert right / len(scored) > 0.95
+
+
+def test_redaction(spark, forest):
+    rows = [f'key = "{SECRET}" x {SECRET} token="{SECRET}"', "nothing", None, ""]
+    docs = texts(spark, *rows).withColumn("n_chars", F.length("text").cast("bigint")).withColumn("_gaps", F.lit(1))
+    made = redact(docs, forest, path="source", n_chars="n_chars")
+    assert made.dtypes == docs.dtypes
+    got = {r.doc_id: r for r in made.collect()}
+    assert got[0].text.count("[SECRET]") >= 2 and f'"{SECRET}"' not in got[0].text and got[0].n_chars == len(got[0].text)
+    assert [got[i].text for i in (1, 2, 3)] == ["nothing", None, ""] and got[2].n_chars is None
+
+
+def test_very_many_candidates(spark, forest):
+    text = " ".join(f"x{i:020d}" for i in range(3000))
+    rows = scan(texts(spark, text), forest).collect()
+    assert len(rows) == 3000 and all(text[r.start : r.stop] == r.value for r in rows)
+
+
+def test_no_python_runs(spark, forest):
+    plan = scan(spark.read.parquet(f"{SF_DIR}/documents.parquet"), forest)._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_odd_rows(odd_documents, no_documents, forest):
+    assert redact(odd_documents, forest, path="source", n_chars="n_chars").collect() == odd_documents.collect()
+    assert scan(odd_documents, forest).collect() == [] == scan(no_documents, forest, path="source").collect()

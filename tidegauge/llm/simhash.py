@@ -193,13 +193,10 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     verdicts = per_row.join(winners, "component").select("doc_id", "text_hash", wins.alias("wins"), "n_rows")
     # Only documents that go or that have equal rows: plain winners need no entry, so
     # Spark sees the true size of this table and picks the join by it.
-    id_, hash_, wins, n_rows = fresh(docs, "_id", "_text_hash", "_wins", "_n_rows")
+    id_, hash_, wins, n_rows, own = fresh(docs, "_id", "_text_hash", "_wins", "_n_rows", "_own_hash")
     notes = stored(verdicts.where("not wins or n_rows > 1").toDF(id_, hash_, wins, n_rows), "verdicts")
-    with_hash = docs.withColumn(hash_, F.xxhash64(F.col(quoted(text))))
-    joined = with_hash.join(
-        notes.withColumnRenamed(hash_, hash_ + "_"),
-        [F.col(quoted(id_column)).eqNullSafe(F.col(id_)), F.col(hash_) == F.col(hash_ + "_")],
-        "left",
+    joined = docs.withColumn(own, F.xxhash64(F.col(quoted(text)))).join(
+        notes, [F.col(quoted(id_column)).eqNullSafe(F.col(id_)), F.col(own) == F.col(hash_)], "left"
     )
     once = joined.where(F.col(wins).isNull())
     repeated = joined.where(F.col(wins)).dropDuplicates([id_, hash_])
