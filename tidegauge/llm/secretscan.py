@@ -323,6 +323,9 @@ def redact(docs: DataFrame, forest: Forest, text: str = "text", path: str | None
     starts = F.concat(F.transform(secrets, lambda c: c["start"]), F.array(F.length(whole).cast("bigint")))
     kept = F.zip_with(ends, starts, lambda stop, start: F.substring(whole, (stop + 1).cast("int"), (start - stop).cast("int")))
     clean = F.when(F.size(secrets) > 0, F.array_join(kept, REDACTED)).otherwise(whole)
-    changed = {text: clean} | ({} if n_chars is None else {n_chars: F.when(F.size(secrets) > 0, F.length(clean)).otherwise(F.col(quoted(n_chars)))})
+    changed = {text: clean}
+    if n_chars is not None:
+        cut = F.aggregate(secrets, F.lit(0).cast("bigint"), lambda n, c: n + c["stop"] - c["start"] - len(REDACTED))
+        changed[n_chars] = F.when(F.size(secrets) > 0, F.length(whole) - cut).otherwise(F.col(quoted(n_chars)))
     types = dict(docs.dtypes)
     return found.select(*[changed[c].cast(types[c]).alias(c) if c in changed else F.col(quoted(c)) for c in docs.columns])
