@@ -236,3 +236,15 @@ def test_profile_of_a_frame_samples_and_counts(spark):
 def test_unknown_correction_is_refused():
     with pytest.raises(ValueError):
         DriftSettings(correction="holm")
+
+
+def test_batches_without_a_common_column_have_a_verdict(spark):
+    base = spark.range(100).selectExpr("id", "CAST(id AS DOUBLE) AS a", "0.5D AS pred", "md5(CAST(id AS STRING)) AS h")
+    profile = build_profile(base, ["a"], "pred", "h")
+    batch = spark.createDataFrame([("x", 1.0), ("x", 2.0), (None, 3.0)], "day string, other double")
+    rows = compare(batch, profile, by=["day"])
+    found = {r.day: r for r in verdict(rows, ["day"], missing=missing_columns(batch, profile), batch=batch).collect()}
+    assert {d: r.n_rows for d, r in found.items()} == {"x": 2, None: 1}
+    assert all(r.n_features == 0 and not r.drifted and r.missing_columns == ["a"] for r in found.values())
+    (whole,) = verdict(compare(batch, profile), missing=["a"], batch=batch).collect()
+    assert whole.n_rows == 3 and whole.n_features == 0 and whole.reasons == []

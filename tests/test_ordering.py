@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators import ordering
-from tidegauge.operators.ordering import RowOrder, Splits, baseline_batch, baseline_windows, find_splits, hash_levels, id_levels
+from tidegauge.operators.ordering import RowOrder, Splits, baseline_batch, baseline_cut, baseline_windows, find_splits, hash_levels, id_levels
 from tidegauge.operators.sampling import counts_by_prefix, random_halves, row_hash, sample_values
 
 
@@ -81,3 +81,19 @@ def test_random_halves_are_disjoint_and_equal(spark):
     assert len(set(picks.values())) == 4
     again = random_halves(spark.range(101).repartition(7), ["id"], 4, 42).toPandas()
     assert picks == {t: frozenset(g[g.first_half].id) for t, g in again.groupby("trial")}
+
+
+@pytest.mark.parametrize("fraction", [0.05, 0.4])
+def test_null_keys_come_first_and_no_row_is_lost(spark, fraction):
+    """A cut inside the nulls and one behind them: both parts add up to all rows."""
+    rows = [(i, None if i % 10 == 0 else float(i * 7919 % 1000)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id bigint, key double")
+    order = RowOrder((F.col("key"), F.col("id")))
+    splits = Splits.find(df, order, baseline_cut(fraction))
+    first = {r.id for r in df.where(splits.before(0)).collect()}
+    rest = {r.id for r in df.where(splits.from_(0)).collect()}
+    ranked = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))
+    assert first == {i for i, _ in ranked[: int(1000 * fraction)]}
+    assert first | rest == set(range(1000)) and not first & rest
+    parts = {r.id for r in splits.with_part(df).where("part = 0").collect()}
+    assert parts == first

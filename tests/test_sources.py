@@ -38,6 +38,25 @@ def test_profile_survives_storage(spark, rows, tmp_path):
         tables.load_profile(spark, str(tmp_path / "none"))
 
 
+def test_a_large_profile_is_compared_as_it_was_stored(spark, tmp_path):
+    """More values than the default cap: nothing but the path is needed to read them all."""
+    rng = np.random.default_rng(3)
+    values = pd.DataFrame({"id": range(120_000), "x": rng.normal(size=120_000)})
+    base = spark.createDataFrame(values).withColumn("h", row_hash(1, "id")).withColumn("pred", F.lit(0.5))
+    path = str(tmp_path / "profiles")
+    tables.save_profile(build_profile(base, ["x"], "pred", "h", cap=120_000, bins=20), path)
+    loaded = tables.load_profile(spark, path)
+    assert (loaded.cap, loaded.bins) == (120_000, 20)
+    live = rng.normal(size=5000)
+    row = compare(spark.createDataFrame(pd.DataFrame({"x": live})), loaded).where("feature = 'x'").first()
+    both = np.sort(np.concatenate([values.x, live]))
+    steps = [np.searchsorted(np.sort(v), both, side="right") / len(v) for v in (values.x, live)]
+    assert row.n_ref == 120_000
+    assert row.ks_stat == pytest.approx(np.abs(steps[0] - steps[1]).max(), abs=1e-9)
+    with pytest.raises(ValueError, match="made with cap 120000 and 20 bins"):
+        tables.load_profile(spark, path, cap=20_000)
+
+
 def test_log_appends_and_reads_back(spark, rows, tmp_path):
     profile = build_profile(rows, ["x", "not_there"][:1], "pred", "h")
     path = str(tmp_path / "log")

@@ -137,10 +137,13 @@ def verdict(
     by: Sequence[str] = (),
     settings: DriftSettings = DriftSettings(),
     missing: Sequence[str] = (),
+    batch: DataFrame | None = None,
 ) -> DataFrame:
     """One row per batch: counts, shares, prediction drift, ``drifted`` and ``reasons``.
 
-    ``missing`` lists monitored features the batches lack, for the report.
+    ``missing`` lists monitored features the batches lack, for the report. With
+    ``batch``, the rows that were compared, every batch in it has a verdict and its
+    row count, even one that shares no column with the profile.
     """
     is_feature = F.col("feature") != PREDICTION
     is_prediction = ~is_feature
@@ -159,6 +162,8 @@ def verdict(
         F.max(F.when(is_prediction, F.col("sample_mean"))).alias("pred_mean_baseline"),
         F.max(F.when(is_prediction, F.col("mean"))).alias("pred_mean_batch"),
     )
+    if batch is not None:
+        summed = _every_batch(summed, batch, by)
     shared = summed.withColumn(
         "share_flagged", F.col("n_flagged") / F.greatest(F.col("n_features"), F.lit(1))
     )
@@ -169,6 +174,17 @@ def verdict(
     )
 
 
+def _every_batch(summed: DataFrame, batch: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``summed`` with a row for each batch, counts and shares 0 where nothing was compared."""
+    sizes = batch.groupBy(*by).agg(F.count(F.lit(1)).alias("_n_rows"))
+    own = summed.toDF(*[f"_{c}" if c in by else c for c in summed.columns])
+    on = [sizes[c].eqNullSafe(own[f"_{c}"]) for c in by]
+    joined = sizes.join(own, on, "left") if by else sizes.join(own, how="left")
+    zero = {"n_features", "n_flagged", "n_null_shift", "max_null_delta", "top_psi", "pred_psi"}
+    filled = {c: F.coalesce(F.col(c), F.lit(0).cast(summed.schema[c].dataType)) for c in zero}
+    return joined.withColumns(filled | {"n_rows": F.col("_n_rows")}).select(*summed.columns)
+
+
 def top_drifted(rows: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` features with the largest PSI; rank in the profile settles ties."""
     return features_only(rows).orderBy(F.desc("psi"), "slot").limit(k)

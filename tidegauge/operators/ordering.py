@@ -31,8 +31,8 @@ RANK_AT_MOST = 1_000_000  # groups up to this size are ranked directly
 class RowOrder:
     """A total order as levels from coarse to fine.
 
-    Each level is a non-NULL expression; sorting by all of them in turn is the
-    order, and the last one makes rows unique. A level should take a bounded
+    Sorting by all levels in turn, nulls first, is the order, and the last one
+    makes rows unique. A level should take a bounded
     number of values within one value of the level above (see the constructors),
     since those are counted side by side.
     """
@@ -101,8 +101,12 @@ def find_splits(
     )
     for depth in range(1, len(names)):
         prefix = [*by, *names[:depth]]
-        near = keyed.where(F.col(names[0]).isin(found.literals(names[0])))
-        inside = near.join(F.broadcast(found.frame().drop("_rows")), prefix)
+        first = F.col(names[0])
+        sought = first.isin(found.literals(names[0]))
+        near = keyed.where(sought | first.isNull() if None in found.values(names[0]) else sought)
+        at = found.frame().drop("_rows").withColumnsRenamed({c: f"_at_{c}" for c in prefix})
+        same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in prefix]
+        inside = near.join(F.broadcast(at), same).drop(*[f"_at_{c}" for c in prefix])
         if max((int(n) for n in found.values("_rows")), default=0) <= RANK_AT_MOST:
             rank = F.row_number().over(Window.partitionBy(*by, "slot").orderBy(*names[depth:]))
             found = _Handful.of(
@@ -173,19 +177,21 @@ class Splits:
         return [F.lit(self.found.values(n)[slot]).cast(self.found.schema[n].dataType) for n in self.order.names]
 
     def before(self, slot: int) -> Column:
-        """Is the row before the split key? True for all rows if the slot has none."""
+        """Is the row before the split key? True for all rows if the slot has none. Nulls come first."""
         key = self.key(slot)
         if key is None:
             return F.lit(True)
         # The first comparison alone can reach the file scan.
-        return (self.order.levels[0] <= key[0]) & _less(self.order.levels, key)
+        first = self.order.levels[0]
+        return (first.isNull() | (first <= key[0])) & _less(self.order.levels, key)
 
     def from_(self, slot: int) -> Column:
         """Is the row at or after the split key?"""
         key = self.key(slot)
         if key is None:
             return F.lit(False)
-        return (self.order.levels[0] >= key[0]) & ~_less(self.order.levels, key)
+        first = self.order.levels[0]
+        return (key[0].isNull() | (first >= key[0])) & ~_less(self.order.levels, key)
 
     def with_part(self, df: DataFrame, into: str = "part") -> DataFrame:
         """Add ``into``: how many split keys lie at or before the row."""
@@ -203,10 +209,15 @@ class Splits:
 
 
 def _less(levels: Sequence[Column], key: Sequence[Column]) -> Column:
-    """Lexicographic ``levels < key``."""
+    """Lexicographic ``levels < key``, null before all else; never null itself."""
+
+    def below(level: Column, bound: Column) -> Column:
+        return F.coalesce(level < bound, level.isNull() & bound.isNotNull())
+
     pairs = list(zip(levels, key, strict=True))
-    last = pairs[-1][0] < pairs[-1][1]
-    return reduce(lambda inner, p: (p[0] < p[1]) | ((p[0] == p[1]) & inner), reversed(pairs[:-1]), last)
+    return reduce(
+        lambda inner, p: below(*p) | (p[0].eqNullSafe(p[1]) & inner), reversed(pairs[:-1]), below(*pairs[-1])
+    )
 
 
 def baseline_cut(fraction: float) -> Callable[[Column], Column]:

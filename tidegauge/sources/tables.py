@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 
 from tidegauge.operators.features import attach_identity
 from tidegauge.operators.profile import Profile, profile_from_samples
-from tidegauge.settings import MODEL_VERSION, SAMPLE_CAP, DriftSettings, GateSettings
+from tidegauge.settings import MODEL_VERSION, GateSettings
 
 
 def read_transactions(
@@ -36,31 +36,44 @@ def read_transactions(
 
 
 def save_profile(profile: Profile, path: str, model_version: str = MODEL_VERSION) -> None:
-    """Store a profile; only this model version's partition is replaced."""
-    version = F.lit(model_version).alias("model_version")
-    features = profile.table.select("slot", "feature", "n_rows", "null_rate", "mean", version)
-    _replace_partition(features, f"{path}/features")
-    _replace_partition(profile.samples.select("slot", "value", version), f"{path}/samples")
+    """Store a profile; only this model version's partition is replaced.
+
+    Samples and what they were drawn with (cap and bins) lie in one row per feature, so
+    a reader never sees the parts of two profiles.
+    """
+    values = profile.samples.groupBy("slot").agg(F.collect_list("value").alias("values"))
+    rows = profile.table.select("slot", "feature", "n_rows", "null_rate", "mean").join(values, "slot", "left")
+    stored = {"cap": F.lit(profile.cap), "bins": F.lit(profile.bins), "model_version": F.lit(model_version)}
+    _replace_partition(rows.withColumns(stored), f"{path}/profile")
 
 
 def load_profile(
-    spark: SparkSession,
-    path: str,
-    model_version: str = MODEL_VERSION,
-    cap: int = SAMPLE_CAP,
-    bins: int = DriftSettings.psi_bins,
+    spark: SparkSession, path: str, model_version: str = MODEL_VERSION, cap: int | None = None, bins: int | None = None
 ) -> Profile:
-    """A stored profile; raises FileNotFoundError if the version has none."""
-    frames = [read_if_present(spark, f"{path}/{name}") for name in ("features", "samples")]
-    if any(f is None for f in frames):
+    """A stored profile, with the cap and bins it was made with.
+
+    Raises FileNotFoundError if the version has none, and ValueError if ``cap`` or
+    ``bins`` are given and differ from what is stored, or if the stored samples do not
+    fit the stored cap.
+    """
+    found = read_if_present(spark, f"{path}/profile")
+    if found is None:
         raise FileNotFoundError(f"no profile under {path}")
-    features, samples = (f.where(F.col("model_version") == model_version).drop("model_version") for f in frames)
+    rows = found.where(F.col("model_version") == model_version)
     # A profile monitors a few dozen features.
-    names = [r.feature for r in features.orderBy("slot").select("feature").collect()]
-    if not names:
+    known = rows.orderBy("slot").select("feature", "cap", "bins", F.coalesce(F.size("values"), F.lit(0)).alias("n")).collect()
+    if not known:
         raise FileNotFoundError(f"no profile of {model_version} under {path}")
-    # Back together by feature, so that cut points need no further shuffle.
-    return profile_from_samples(names[:-1], features, samples.repartition("slot"), cap=cap, bins=bins)
+    made_with = {(r["cap"], r["bins"]) for r in known}
+    if len(made_with) > 1 or max(r["n"] for r in known) > known[0]["cap"]:
+        raise ValueError(f"the profile of {model_version} under {path} does not fit its own cap and bins")
+    ((stored_cap, stored_bins),) = made_with
+    if (cap or stored_cap, bins or stored_bins) != (stored_cap, stored_bins):
+        raise ValueError(f"the profile was made with cap {stored_cap} and {stored_bins} bins, not {cap} and {bins}")
+    features = rows.select("slot", "feature", "n_rows", "null_rate", "mean")
+    samples = rows.select("slot", F.explode("values").alias("value"))
+    names = [r["feature"] for r in known]
+    return profile_from_samples(names[:-1], features, samples, cap=stored_cap, bins=stored_bins)
 
 
 def _replace_partition(df: DataFrame, path: str) -> None:

@@ -93,10 +93,16 @@ def windowed_cells(
     )
 
 
-def windowed_verdicts(cells: DataFrame, profile: Profile, settings: DriftSettings = DriftSettings()) -> DataFrame:
-    """Verdicts from stored cell counts: one row per window_start."""
+def windowed_verdicts(
+    cells: DataFrame, profile: Profile, settings: DriftSettings = DriftSettings(), missing: Sequence[str] = ()
+) -> DataFrame:
+    """Verdicts from stored cell counts: one row per window_start.
+
+    ``missing`` lists the monitored features the log lacks (:func:`missing_columns`);
+    the counts cannot tell.
+    """
     by = ["window_start"]
-    return verdict(feature_rows(cells, profile, by, settings), by, settings)
+    return verdict(feature_rows(cells, profile, by, settings), by, settings, missing)
 
 
 def windowed_metrics(log: DataFrame, time: str, every: str, late: str, value: Column, missing: Column) -> DataFrame:
