@@ -469,9 +469,9 @@ ALL: dict[str, str] = {
       from checked where len(violations) > 0""",
     "defaults_overlay": f"""with {REQUESTS}, cents as (
       select *, round_even(("TransactionAmt" - floor("TransactionAmt")) * 100, 0)::float as amt_cents
-      from requests where "TransactionAmt" >= 0)
+      from requests)
       select "TransactionID", "TransactionAmt"::float as "TransactionAmt",
-        round(ln(1 + "TransactionAmt")::float::double, 4) as amt_log, amt_cents, (amt_cents = 0)::int::float as amt_is_round,
+        round(case when "TransactionAmt" > -1 then ln(1 + "TransactionAmt") end::float::double, 4) as amt_log, amt_cents, (amt_cents = 0)::int::float as amt_is_round,
         coalesce("ProductCD", 4)::float as "ProductCD", card1::float as card1, 12::float as card1_freq, 0.25::float as "C5"
       from cents""",
     "decision_lift": f"""with {TX}, scored as (
@@ -486,6 +486,30 @@ ALL: dict[str, str] = {
     "psi_by_feature": f"""{LINE_DRIFT} select case when feature = 'pred' then '__pred__' else feature end as feature,
       n_ref, n_cur, round(psi, 6) as psi from drift_rows""",
     "ks_by_feature": _of_features(LINE_DRIFT, "feature, n_ref, n_cur, round(ks_stat, 6) as ks_stat, round(p_raw, 6) as p_raw"),
+    "ks_small_batch": """with recursive ref as (select s_acctbal as v from supplier),
+      cur as (select c_nationkey as nation, c_mktsegment as segment, c_acctbal as v from customer),
+      sizes as (select nation, segment, count(*) as m, (select count(*) from ref) as n from cur group by all),
+      points as (select distinct nation, segment, v from (
+        select nation, segment, v from cur union all select nation, segment, ref.v from sizes, ref)),
+      gaps as (select nation, segment, n, m,
+          abs((select count(*) from ref where ref.v <= p.v) * m
+            - (select count(*) from cur c where c.nation = p.nation and c.segment = p.segment and c.v <= p.v) * n) as gap
+        from points p join sizes using (nation, segment)),
+      tests as (select nation, segment, n, m, max(gap) as reach from gaps group by all),
+      walk as (
+        select nation, segment, n, m, reach, 0::bigint as s, list_transform(range(0, m + 1), lambda i: 0e0) as met
+        from tests where n >= 20 and m >= 20
+        union all
+        select nation, segment, n, m, reach, s + 1, list_transform(range(0, m + 1), lambda i:
+          case when i > s + 1 or s + 1 - i > n then 0e0
+            when abs(i * n - (s + 1 - i) * m) >= reach then 1e0
+            else (i * case when i > 0 then met[i] else 0e0 end + (s + 1 - i) * met[i + 1]) / (s + 1) end)
+        from walk where s < n + m),
+      exact as (select nation, segment, met[m + 1] as p from walk where s = n + m)
+      select nation, segment, n as n_ref, m as n_cur,
+        case when p is null then 0e0 else round(reach / (n * m)::double, 6) end as ks_stat,
+        round(coalesce(least(p, 1e0), 1e0), 6) as p_raw
+      from tests left join exact using (nation, segment)""",
     "flag_none": _of_features(VECTOR_DRIFT, "feature, round(p_raw, 6) as p_raw, sig_none as significant"),
     "flag_bonferroni": _of_features(VECTOR_DRIFT, "feature, round(p_raw, 6) as p_raw, sig_bonferroni as significant"),
     "flag_bh": _of_features(VECTOR_DRIFT, "feature, round(p_raw, 6) as p_raw, sig_bh as significant"),

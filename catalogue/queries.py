@@ -21,7 +21,7 @@ from tidegauge.operators.scoring import fit_probe, importance, score
 from tidegauge.operators.whatif import default_scenarios, null_out, overwrite_cohort, rescale_amount, share_of_rows
 from tidegauge.plans import validation
 from tidegauge.session import scratch_path
-from tidegauge.settings import BASELINE_FRACTION, COHORT_SHARE, LIVE_BATCH_ROWS, MODEL_VERSION, SEED, GateSettings
+from tidegauge.settings import BASELINE_FRACTION, COHORT_SHARE, LIVE_BATCH_ROWS, MODEL_VERSION, SEED, DriftSettings, GateSettings
 from tidegauge.sources import tables
 from tidegauge.sources.models import ModelBundle, load_bundle, numeric_defaults, save_bundle
 from tidegauge.streaming import monitor
@@ -101,7 +101,7 @@ def contract_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def defaults_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["TransactionAmt", "amt_log", "amt_cents", "amt_is_round", "ProductCD", "card1", "card1_freq", "C5"]
-    rows = overlay_defaults(inputs.requests(spark, sf_dir).where("TransactionAmt >= 0"), columns, DEFAULTS)
+    rows = overlay_defaults(inputs.requests(spark, sf_dir), columns, DEFAULTS)
     return rows.select("TransactionID", *columns).withColumn("amt_log", F.round(F.col("amt_log").cast("double"), 4))
 
 
@@ -233,6 +233,19 @@ def stored_profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(compare(live, tables.load_profile(spark, path).checkpoint(), "pred"))
 
 
+def ks_small_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact p-values: customers of each nation and segment against all suppliers, by balance."""
+    suppliers = inputs.table(spark, sf_dir, "supplier").select(
+        F.col("s_acctbal").alias("balance"), F.lit(0.5).alias("pred"), row_hash(SEED, "s_suppkey").alias("h")
+    )
+    customers = inputs.table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance")
+    )
+    profile = build_profile(suppliers, ["balance"], "pred", "h").checkpoint()
+    rows = compare(customers, profile, by=["nation", "segment"], settings=DriftSettings(ks_exact_at_most=10_000))
+    return rounded(rows, ks_stat=6, p_raw=6).select("nation", "segment", "n_ref", "n_cur", "ks_stat", "p_raw")
+
+
 # --- validation -----------------------------------------------------------
 
 
@@ -537,6 +550,7 @@ ALL: dict[str, Query] = {
     "psi_by_feature": psi_by_feature,
     "ks_by_feature": ks_by_feature,
     "flag_none": flags("none"),
+    "ks_small_batch": ks_small_batch,
     "flag_bonferroni": flags("bonferroni"),
     "flag_bh": flags("bh"),
     "missing_rate_shift": missing_rate_shift,

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import brute
-from tidegauge.functions.kolmogorov import with_ks_pvalue
+from tidegauge.functions.kolmogorov import exact_two_sample, with_ks_pvalue
 from tidegauge.operators import compare as comparing
 from tidegauge.operators.compare import compare, features_only, missing_columns, top_drifted, verdict, with_significance
 from tidegauge.operators.profile import PREDICTION, build_profile, monitored_features, profile_from_samples
@@ -248,3 +248,26 @@ def test_batches_without_a_common_column_have_a_verdict(spark):
     assert all(r.n_features == 0 and not r.drifted and r.missing_columns == ["a"] for r in found.values())
     (whole,) = verdict(compare(batch, profile), missing=["a"], batch=batch).collect()
     assert whole.n_rows == 3 and whole.n_features == 0 and whole.reasons == []
+
+
+@pytest.mark.parametrize(
+    "n,m,d,p", [(20, 20, 0.40, 0.0811), (30, 30, 1 / 3, 0.0709), (30, 30, 11 / 30, 0.0346), (200, 300, 0.137, 0.0211)]
+)
+def test_exact_two_sample_p_values(n, m, d, p):
+    assert exact_two_sample(d, n, m) == pytest.approx(p, abs=6e-5 if n < 100 else 5e-4)
+
+
+def test_exact_p_value_against_all_merges():
+    from itertools import combinations
+
+    n, m = 5, 7
+    for reach in (9, 14, 21, 35):
+        hits = total = 0
+        for own in combinations(range(n + m), n):
+            i = j = 0
+            far = 0
+            for place in range(n + m):
+                i, j = (i + 1, j) if place in own else (i, j + 1)
+                far = max(far, abs(i * m - j * n))
+            hits, total = hits + (far >= reach), total + 1
+        assert exact_two_sample(reach / (n * m), n, m) == pytest.approx(hits / total, abs=1e-12)

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.kolmogorov import with_ks_pvalue
+from tidegauge.functions.kolmogorov import exact_ks_pvalue, with_ks_pvalue
 from tidegauge.functions.missing import finite, quoted
 from tidegauge.functions.search import count_at_most
 from tidegauge.operators.profile import PREDICTION, Profile
@@ -263,7 +263,11 @@ def _statistics(df: DataFrame, bins: int, settings: DriftSettings) -> DataFrame:
         .withColumn("psi", F.when(F.col("_enough"), psi).otherwise(F.lit(0.0)))
         .withColumn("null_rate", (F.col("n_rows") - F.col("n_cur")) / F.col("n_rows"))
     )
-    return with_ks_pvalue(tested, "ks_stat", "n_ref", "n_cur", "_p").withColumn(
+    valued = with_ks_pvalue(tested, "ks_stat", "n_ref", "n_cur", "_p")
+    if settings.ks_exact_at_most:
+        exact = exact_ks_pvalue("ks_stat", "n_ref", "n_cur", settings.ks_exact_at_most)
+        valued = valued.withColumn("_p", F.coalesce(exact, F.col("_p")))
+    return valued.withColumn(
         "p_raw", F.when(F.col("_enough"), F.col("_p")).otherwise(F.lit(1.0))
     ).withColumn("null_delta", F.coalesce(F.abs(F.col("null_rate") - F.col("_base_null")), F.lit(0.0)))
 

@@ -10,7 +10,9 @@ class DriftSettings:
     """Thresholds of a drift comparison.
 
     ``correction`` is one of ``none``, ``bonferroni`` or ``bh``
-    (Benjamini-Hochberg).
+    (Benjamini-Hochberg). ``ks_exact_at_most`` asks for exact Kolmogorov-Smirnov
+    p-values where both samples have at most so many values (10,000 is usual); 0
+    takes the series for all.
     """
 
     # Fixed values of the monitoring rules.
@@ -23,6 +25,7 @@ class DriftSettings:
     batch_share: float = 0.05
     null_jump: float = 0.35
     min_finite: int = 20
+    ks_exact_at_most: int = 0
 
     def __post_init__(self) -> None:
         if self.correction not in CORRECTIONS:
