@@ -31,8 +31,8 @@ PREDICTION = T.StructType(
 BAGS = T.ArrayType(
     T.StructType(
         [
-            T.StructField("buckets", T.ArrayType(T.IntegerType())),
-            T.StructField("counts", T.ArrayType(T.IntegerType())),
+            T.StructField("buckets", T.BinaryType()),
+            T.StructField("counts", T.BinaryType()),
         ]
     )
 )
@@ -129,8 +129,9 @@ def _sample(docs: DataFrame, settings: LanguageSettings, text: str, lang: str, r
             rows.append([])
             for part in (data, data[at : at + settings.piece_bytes]):
                 buckets, counts = bag(part, settings.bits)
-                rows[-1].append({"buckets": buckets.tolist(), "counts": counts.tolist()})
-        kind = pa.struct([("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+                packed = buckets.astype(np.int32).tobytes(), counts.astype(np.float32).tobytes()
+                rows[-1].append(dict(zip(("buckets", "counts"), packed)))
+        kind = pa.struct([("buckets", pa.binary()), ("counts", pa.binary())])
         return pa.array(rows, pa.list_(kind))
 
     rows = docs.where(F.col(quoted(text)).isNotNull()).select(
@@ -160,9 +161,9 @@ def train(
         found = []
         for r in part:
             for b in r["bags"]:
-                counts = np.array(b["counts"], np.float32)
+                counts = np.frombuffer(b["counts"], np.float32)
                 if len(counts):
-                    found.append((np.array(b["buckets"]), counts / counts.sum(), place[r["lang"]]))
+                    found.append((np.frombuffer(b["buckets"], np.int32), counts / counts.sum(), place[r["lang"]]))
         return found
 
     table, bias = _descend(examples(rows[n_held:]), len(languages), settings)
