@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 from array import array
-from collections.abc import Collection, Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -17,13 +18,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import fresh, text_or_empty, word_blocks
+from tidegauge.llm.common import quoted, text_or_empty, word_blocks
+
+# What Unicode 16 does not call a letter or number, but later versions do
+# (first and last code point). Such signs are treated like any other sign, whatever
+# version this Python's libraries know.
+LATER_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1),
+    (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F),
+    (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF),
+    (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2),
+    (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81),
+    (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5),
+    (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+LATER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in LATER_LETTERS) + "]")
+NO_LETTER = "\ue000"
+# Capitals that Unicode 15 does not know, and their small letters.
+NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7DC: 0x19B}
+NEW_CAPITALS |= {c: c + 1 for c in (0xA7CC, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA)}
+NEW_CAPITALS |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
 
 # Words kept with their encoding in each Python worker; beyond it the store starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
+ROWS_AT_ONCE = 256
 NO_PAIR = 1 << 62
 
-ROUND_TRIP = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+ENCODED = (T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()))
 
 
 def byte_letters() -> list[str]:
@@ -159,12 +183,15 @@ class Vocabulary:
                 found.append(part)
                 continue
             if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").translate(NEW_CAPITALS)
             part = part.lower()
             if part.isalpha():
                 found.append(part)
             elif part[:-1].isalpha() and unicodedata.category(part[-1]) == "Po":
                 found += [part[:-1], part[-1]]
+            elif LATER.search(part):
+                spans = [m.span() for m in self.pattern.finditer(LATER.sub(NO_LETTER, part))]
+                found += [part[a:b] for a, b in spans]
             else:
                 found += self.pattern.findall(part)
         return found
@@ -253,10 +280,11 @@ def vocabulary(path: str) -> Vocabulary:
     """
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    model, splitter = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
-    kinds = [n["type"] for n in spec["normalizer"]["normalizers"]], [p["type"] for p in splitter]
-    if model["type"] != "BPE" or kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or spec["decoder"]:
+    steps = {"normalizers": spec["normalizer"] or {}, "pretokenizers": spec["pre_tokenizer"] or {}}
+    kinds = [[part["type"] for part in step.get(name, [])] for name, step in steps.items()]
+    if kinds != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or spec["decoder"]:
         raise ValueError(f"{path} is not a vocabulary of this kind")
+    model, splitter = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
     ids = dict(model["vocab"])
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     special = [t["content"] for t in spec["added_tokens"]]
@@ -277,23 +305,33 @@ def _ids_array(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, np.concatenate([*rows, np.empty(0, np.int32)]))
 
 
-def encoded(text: str, vocabulary_path: str) -> Column:
-    """A struct column: the ids of the whole text and their decoding.
+def encode_documents(
+    docs: DataFrame, vocabulary_path: str, text: str = "text", columns: Sequence[str] | None = None
+) -> DataFrame:
+    """``columns`` of ``docs`` (all by default) with ``ids`` and ``decoded``; columns of those names are replaced.
 
     Null and empty texts have no ids and decode to empty text. Special tokens written
     in a text become their ids; nothing is added, cut or padded. The vocabulary file
-    is opened by each Python worker, so its path must exist on every executor.
+    is opened by each Python worker, so its path must exist on every executor. Results
+    leave the worker a few hundred texts at a time.
     """
+    kept = [c for c in (docs.columns if columns is None else columns) if c.lower() not in ("ids", "decoded")]
+    # Plain names on the way: mapInArrow takes a dot in a name for a field.
+    plain = [f"c{i}" for i in range(len(kept))]
+    carried = [T.StructField(name, docs.schema[c].dataType) for name, c in zip(plain, kept)]
+    schema = T.StructType([*carried, *ENCODED])
 
-    @F.arrow_udf(ROUND_TRIP)
-    def round_trip(texts: pa.Array) -> pa.Array:
-        ids, decoded = [], []
-        for row, pieces in vocabulary(vocabulary_path).encode(t.as_py() or b"" for t in texts):
-            ids.append(row)
-            decoded.append(pieces)
-        return pa.StructArray.from_arrays([_ids_array(ids), pa.array(decoded, pa.string())], ["ids", "decoded"])
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary(vocabulary_path)
+        for batch in batches:
+            for start in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                rows = list(known.encode(t.as_py() for t in part.column(len(kept))))
+                made = [_ids_array([ids for ids, _ in rows]), pa.array([d for _, d in rows], pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], schema.names)
 
-    return round_trip(text_or_empty(text).cast("binary"))
+    rows = docs.select(*[F.col(quoted(c)) for c in kept], text_or_empty(text).cast("binary"))
+    return rows.toDF(*plain, "text").mapInArrow(encode, schema).toDF(*kept, "ids", "decoded")
 
 
 def decoded(ids: str, vocabulary_path: str) -> Column:
@@ -305,13 +343,3 @@ def decoded(ids: str, vocabulary_path: str) -> Column:
         return pa.array([None if r is None else known.decode(r) for r in rows.to_pylist()], pa.string())
 
     return decode(ids)
-
-
-def encode_documents(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``ids`` and ``decoded``; columns of those names are replaced."""
-    (both,) = fresh(docs, "_encoded")
-    kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
-    return (
-        docs.withColumn(both, encoded(text, vocabulary_path))
-        .select(*[F.col(f"`{c}`") for c in kept], f"{both}.ids", f"{both}.decoded")
-    )

@@ -69,7 +69,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of their decoding."""
-    made = bpe.encode_documents(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
+    made = bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), columns=["doc_id"])
     return made.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
