@@ -55,10 +55,9 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of one segment, so that part of the transactions have no identity row."""
+    """Customers as identity rows."""
     return (
         table(spark, sf_dir, "customer")
-        .where("c_mktsegment = 'BUILDING'")
         .select(
             F.col("c_custkey").alias("card1"),
             F.col("c_acctbal").alias("id-01"),

@@ -26,7 +26,7 @@ tx as (
   from orders),
 people as (
   select c_custkey as card1, c_acctbal as id_01, c_nationkey::double as id_02
-  from customer where c_mktsegment = 'BUILDING')"""
+  from customer)"""
 
 PREPARED = (
     TX
@@ -423,8 +423,8 @@ gated as (
   from models)"""
 
 ALL: dict[str, str] = {
-    "join_identity": f"""with {TX} select t."TransactionID", t.card1, p.id_01, p.id_02,
-      (p.card1 is not null)::tinyint as has_identity from tx t left join people p on t.card1 = p.card1""",
+    "join_identity": """select d.doc_id as "TransactionID", d.n_chars, l.quality::double as id_01, l.toxic::double as id_02,
+      (l.doc_id is not null)::tinyint as has_identity from documents d left join labels l using (doc_id)""",
     "calendar_amount_features": f"""with {TX}, cents as (
       select *, round_even(("TransactionAmt" - floor("TransactionAmt")) * 100, 0)::float as amt_cents from tx)
       select "TransactionID", ("TransactionDT" / 3600e0) % 24e0 as hour,

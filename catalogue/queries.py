@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalogue import inputs
 from catalogue.inputs import EMBEDDING_FEATURES, LINE_FEATURES, TRANSACTION_FEATURES, line_order, transaction_order
 from tidegauge.operators import features as feat
-from tidegauge.operators.compare import compare, features_only, top_drifted, verdict, worst_missing
+from tidegauge.operators.compare import compare, features_only, missing_columns, top_drifted, verdict, worst_missing
 from tidegauge.operators.contract import accepted, overlay_defaults, rejected, with_contract, with_decision
 from tidegauge.operators.gate import evaluate_gates
 from tidegauge.operators.ordering import RowOrder, Splits, baseline_batch, id_levels
@@ -37,8 +37,12 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 
 def join_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = feat.attach_identity(inputs.transactions(spark, sf_dir), inputs.identity(spark, sf_dir), "card1")
-    return joined.select("TransactionID", "card1", "id_01", "id_02", "has_identity")
+    """Documents and their labels, which only some of them have."""
+    documents = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("TransactionID"), "n_chars")
+    labels = inputs.table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("TransactionID"), F.col("quality").cast("double").alias("id-01"), F.col("toxic").cast("double").alias("id-02")
+    )
+    return feat.attach_identity(documents, labels, "TransactionID")
 
 
 def calendar_amount_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -486,7 +490,8 @@ def stream_window_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = monitor.windowed_cells(event_stream(spark, sf_dir), profile, "ts", "1 day", "1 hour", "pred")
     finish(monitor.updating_sink(cells, f"{path}/rows", f"{path}/state"))
     stored = monitor.latest(spark.read.parquet(f"{path}/rows"), ["window_start", "slot", "cell"])
-    judged = monitor.windowed_verdicts(stored, profile)
+    missing = missing_columns(event_stream(spark, sf_dir), profile)
+    judged = monitor.windowed_verdicts(stored, profile, missing=missing)
     return rounded(
         judged.select(F.to_date("window_start").alias("day"), "n_rows", "n_flagged", "top_psi", "pred_psi", "drifted"),
         top_psi=6,
