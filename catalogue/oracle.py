@@ -336,7 +336,7 @@ cutoff as (select *, floor(total * 0.4e0)::bigint as cut from placed),
 base as (
   select 0 as rk, md5(concat_ws('|', 42, "TransactionID")) as h, {SCENARIO_FEATURES}, {_PRED}
   from cutoff where pos < cut),
-live_rows as (select * from cutoff where pos >= cut and pos < cut + 40000),
+live_rows as (select * from cutoff where pos >= cut),
 stacked as (
   {_scenario("healthy (control)", {})} union all
   {_scenario("currency units bug", _RESCALED)} union all
@@ -554,6 +554,10 @@ ALL: dict[str, str] = {
     "whatif_rescale": whatif(_RESCALED),
     "whatif_cohort": whatif(_COHORT),
     "whatif_feed_null": whatif(_OUTAGE),
+    "live_batch": f"""with {TX}, placed as (
+      select *, row_number() over (order by "TransactionDT", "TransactionID") - 1 as pos, count(*) over () as n from tx)
+      select "TransactionID", "TransactionDT" from placed
+      where pos >= floor(n * 0.4e0) and pos < floor(n * 0.4e0) + 4000""",
     "scenario_backtest": SCENARIOS,
     "rolling_prediction_mean": f"""with {LOG} select event_id, pred,
       round(avg(pred) over (order by ts, event_id rows between 49 preceding and current row), 6) as rolling_mean from log""",

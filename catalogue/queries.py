@@ -13,7 +13,7 @@ from tidegauge.operators import features as feat
 from tidegauge.operators.compare import compare, features_only, missing_columns, top_drifted, verdict, worst_missing
 from tidegauge.operators.contract import accepted, overlay_defaults, rejected, with_contract, with_decision
 from tidegauge.operators.gate import evaluate_gates
-from tidegauge.operators.ordering import RowOrder, Splits, baseline_batch, id_levels
+from tidegauge.operators.ordering import RowOrder, Splits, baseline_batch, baseline_cut, id_levels
 from tidegauge.operators.profile import PREDICTION, Profile, build_profile, decile_edges, missing_rates, monitored_features
 from tidegauge.operators.ranking import roc_auc, rolling_mean
 from tidegauge.operators.sampling import row_hash
@@ -21,7 +21,7 @@ from tidegauge.operators.scoring import fit_probe, importance, score
 from tidegauge.operators.whatif import default_scenarios, null_out, overwrite_cohort, rescale_amount, share_of_rows
 from tidegauge.plans import validation
 from tidegauge.session import scratch_path
-from tidegauge.settings import BASELINE_FRACTION, COHORT_SHARE, LIVE_BATCH_ROWS, MODEL_VERSION, SEED, DriftSettings, GateSettings
+from tidegauge.settings import BASELINE_FRACTION, COHORT_SHARE, MODEL_VERSION, SEED, DriftSettings, GateSettings
 from tidegauge.sources import tables
 from tidegauge.sources.models import ModelBundle, load_bundle, numeric_defaults, save_bundle
 from tidegauge.streaming import monitor
@@ -321,11 +321,18 @@ def with_stand_in(df: DataFrame) -> DataFrame:
     return df.withColumn("pred", base / (base + 200000.0 + 50000.0 * known))
 
 
+def live_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch of a given size right after the baseline; the size is what is asked for."""
+    tx = inputs.transactions(spark, sf_dir)
+    splits = Splits.find(tx, transaction_order(), baseline_batch(BASELINE_FRACTION, 4_000))
+    return tx.where(splits.from_(0) & splits.before(1)).select("TransactionID", "TransactionDT")
+
+
 def scenario_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prepared(spark, sf_dir).withColumn("h", row_hash(SEED, "TransactionID"))
     order = transaction_order()
-    splits = Splits.find(inputs.transactions(spark, sf_dir), order, baseline_batch(BASELINE_FRACTION, LIVE_BATCH_ROWS))
-    base, live = rows.where(splits.before(0)), rows.where(splits.from_(0) & splits.before(1))
+    splits = Splits.find(inputs.transactions(spark, sf_dir), order, baseline_cut(BASELINE_FRACTION))
+    base, live = rows.where(splits.before(0)), rows.where(splits.from_(0))
     profile = build_profile(with_stand_in(base), TRANSACTION_FEATURES, "pred", "h").checkpoint()
     return validation.scenario_backtest(live, profile, default_scenarios("h"), with_stand_in)
 
@@ -576,6 +583,7 @@ ALL: dict[str, Query] = {
     "whatif_rescale": whatif_rescale,
     "whatif_cohort": whatif_cohort,
     "whatif_feed_null": whatif_feed_null,
+    "live_batch": live_batch,
     "scenario_backtest": scenario_backtest,
     "rolling_prediction_mean": rolling_prediction_mean,
     "log_counters": log_counters,

@@ -40,7 +40,6 @@ N_MONITORED = 40
 BASELINE_FRACTION = 0.4
 N_WINDOWS = 8
 N_TRIALS = 20
-LIVE_BATCH_ROWS = 40_000
 COHORT_SHARE = 0.35
 ROLLING_ROWS = 50
 
