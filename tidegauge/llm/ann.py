@@ -81,9 +81,12 @@ def estimates(codes: Codes, query: np.ndarray, turn: np.ndarray, settings: AnnSe
 
 
 def cosine(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Cosines in double precision; a row's result does not depend on the other rows."""
-    dot = (vectors * query).sum(axis=1)
-    return dot / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
+    """Cosines in double precision, summed from the first component to the last, whatever the other rows are."""
+
+    def summed(products: np.ndarray) -> np.ndarray:
+        return np.cumsum(products, axis=-1)[..., -1]
+
+    return summed(vectors * query) / (np.sqrt(summed(query * query)) * np.sqrt(summed(vectors * vectors)))
 
 
 def nearest(

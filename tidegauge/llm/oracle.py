@@ -6,10 +6,13 @@ WITH v AS (
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
       AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), normed AS (
+    SELECT *, sqrt(list_reduce(list_transform(x, lambda a: a * a), lambda a, b: a + b)) AS norm FROM v
 ), pairs AS (
     SELECT q.vec_id AS query_id, c.vec_id,
-           list_dot_product(q.x, c.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(c.x, c.x))) AS score
-    FROM v q JOIN v c ON q.vec_id <> c.vec_id
+           list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]), lambda a, b: a + b)
+               / (q.norm * c.norm) AS score
+    FROM normed q JOIN normed c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x)
     WHERE q.vec_id % 50 = 0
 ), ranked AS (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs
@@ -17,4 +20,70 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ALL: dict[str, str] = {"op9_nearest_vectors": OP9_NEAREST_VECTORS}
+OP2_QUALITY_RULES = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row_no, doc_id, coalesce(lang, '(null)') AS stratum, coalesce(text, '') AS text
+    FROM documents
+), split AS (
+    SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+           list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM docs
+), places AS (
+    SELECT row_no, words, unnest(range(1, len(words) - 1)) AS place FROM split WHERE len(words) > 2
+), windows AS (
+    SELECT row_no, place, count(*) OVER (PARTITION BY row_no, words[place : place + 2]) AS often FROM places
+), inside AS (
+    SELECT row_no, count(DISTINCT word) AS n_repeat_words
+    FROM (SELECT row_no, unnest([place, place + 1, place + 2]) AS word FROM windows WHERE often > 1) GROUP BY row_no
+), counts AS (
+    SELECT row_no, doc_id, stratum, len(words)::BIGINT AS n_words,
+           coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+           (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+           (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+           coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
+           (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::BIGINT AS n_upper
+    FROM split LEFT JOIN inside USING (row_no)
+), judged AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+), steps AS (
+    SELECT row_no, doc_id, stratum, base_failed, rule.name AS rule, ceil(rule.share * 200)::INTEGER AS step
+    FROM (SELECT *, unnest([
+        {'name': 'symbols', 'share': CASE WHEN word_chars > 0 THEN least(n_symbols / word_chars, 1) ELSE 0 END},
+        {'name': 'dup_lines', 'share': CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END},
+        {'name': 'repeat_words', 'share': CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END},
+        {'name': 'upper', 'share': CASE WHEN word_chars > 0 THEN least(n_upper / word_chars, 1) ELSE 0 END}]) AS rule
+      FROM judged)
+), known AS (
+    SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id
+), held AS (
+    SELECT stratum, rule, step, quality FROM steps JOIN known USING (doc_id) WHERE NOT base_failed
+), totals AS (
+    SELECT stratum, rule, sum(quality)::BIGINT AS n, 0.05e0 / (count(*) OVER ()) AS level FROM held GROUP BY stratum, rule
+), tails AS (
+    SELECT stratum, rule, k, level, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+               + k * ln(0.0125e0) + (n - k) * ln(1 - 0.0125e0))) OVER (PARTITION BY stratum, rule ORDER BY k) AS at_most
+    FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM totals)
+), cuts AS (
+    SELECT stratum, rule, s, count(*) FILTER (WHERE step > s AND quality = 1) AS lost,
+           count(*) FILTER (WHERE step > s AND quality = 0) AS caught
+    FROM held, range(0, 200) AS c(s) GROUP BY stratum, rule, s
+), tested AS (
+    SELECT c.*, t.at_most <= t.level AS allowed
+    FROM cuts c JOIN tails t ON c.stratum = t.stratum AND c.rule = t.rule AND c.lost = t.k
+), chosen AS (
+    SELECT stratum, rule, arg_max(s, caught * 1000 + s) AS cut
+    FROM (SELECT *, coalesce(max(s) FILTER (WHERE NOT allowed) OVER (PARTITION BY stratum, rule), -1) AS bar FROM tested)
+    WHERE s > bar AND caught > 0 GROUP BY stratum, rule
+), failed AS (
+    SELECT row_no, string_agg(rule, ',' ORDER BY list_position(['symbols', 'dup_lines', 'repeat_words', 'upper'], rule)) AS rules
+    FROM steps JOIN chosen USING (stratum, rule) WHERE step > cut GROUP BY row_no
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       coalesce(rules, '') AS failed_rules, NOT base_failed AND rules IS NULL AS kept
+FROM judged LEFT JOIN failed USING (row_no)
+"""
+
+ALL: dict[str, str] = {
+    "op2_quality_rules": OP2_QUALITY_RULES,
+    "op9_nearest_vectors": OP9_NEAREST_VECTORS,
+}
