@@ -46,6 +46,7 @@ class LanguageSettings:
     bits: int = 16  # 2 ** bits buckets
     dim: int = 16
     epochs: int = 4
+    least_steps: int = 20_000  # a small sample is learned in more epochs
     rate: float = 2.0
     piece_bytes: int = 160  # a short piece of each sampled document is learned besides the whole
     calibration_share: float = 0.25
@@ -181,7 +182,8 @@ def _descend(
     embeddings = random.uniform(-1, 1, (1 << settings.bits, settings.dim)).astype(np.float32) / settings.dim
     output = np.zeros((settings.dim, n_languages), np.float32)
     bias = np.zeros(n_languages, np.float32)
-    steps = settings.epochs * len(examples)  # none if too little was sampled
+    # None if too little was sampled.
+    steps = max(settings.epochs * len(examples), settings.least_steps) if examples else 0
     for step in range(steps):
         if step % len(examples) == 0:
             order = random.permutation(len(examples))
@@ -202,7 +204,7 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     def loss(t: float) -> float:
         return -float(np.log(softmax(logits / t)[np.arange(len(labels)), labels] + 1e-12).mean())
 
-    return float(min(np.geomspace(0.05, 5, 81), key=loss))
+    return float(min(np.geomspace(0.25, 5, 61), key=loss))
 
 
 def predicted(model: LanguageModel, text: str = "text") -> Column:
