@@ -74,6 +74,7 @@ def digest_sample(rows: DataFrame, by: str, n: int, seed: int, key: str) -> Data
     reach = counts.withColumn(share, (n + 8 * n**0.5 + 64) / F.col(share))
     keyed = rows.withColumn(digest, F.xxhash64(F.lit(seed), key))
     # Digests are spread evenly over 64 bits.
-    near = keyed.join(reach, by).where(F.col(digest) / 2.0**64 + 0.5 < F.col(share))
+    # One row for each value, against n rows of each in the sample itself.
+    near = keyed.join(F.broadcast(reach), by).where(F.col(digest) / 2.0**64 + 0.5 < F.col(share))
     ranked = near.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(digest, key)))
     return ranked.where(F.col(rank) <= n).drop(digest, share, rank)
