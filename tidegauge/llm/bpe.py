@@ -43,7 +43,7 @@ NEW_CAPITALS |= {c: c + 1 for c in (0xA7CC, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA)}
 NEW_CAPITALS |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
 
 # Words kept with their encoding in each Python worker; beyond it the store starts anew.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 ROWS_AT_ONCE = 256
 NO_PAIR = 1 << 62
 
