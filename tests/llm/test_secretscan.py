@@ -78,3 +78,28 @@ def test_no_python_runs(spark, forest):
 def test_odd_rows(odd_documents, no_documents, forest):
     assert redact(odd_documents, forest, path="source", n_chars="n_chars").collect() == odd_documents.collect()
     assert scan(odd_documents, forest).collect() == [] == scan(no_documents, forest, path="source").collect()
+
+
+def test_names_are_no_part_of_values(spark, forest):
+    rows = [
+        f"export API_TOKEN={SECRET}",
+        f"x=1\nGITHUB_TOKEN={SECRET}\nNEXT=2",
+        'aws_prod2_database_password = "hunter2!pw"',
+        '/srv/prod2/config/password="hunter2!pw"',
+        "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzz1+zAbQ=",
+        f"commit={SECRET}",
+    ]
+    got = found(spark, forest, *rows)
+    assert got[0] == got[1] == [(SECRET, True)]
+    assert [v for v, _ in got[2]] == [v for v, _ in got[3]] == ["hunter2!pw"]
+    assert got[4] == [("wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzz1+zAbQ=", True)]
+    assert got[5] == [(SECRET, False)]
+
+
+def test_training_sees_what_the_scanner_cuts(spark):
+    row = ("export API_TOKEN=", SECRET, " ", "src", 1.0)
+    other = ("see https://host.example.com/page/", SECRET, " ", "", 0.0)
+    made = spark.createDataFrame([row, other], "before string, value string, after string, path string, label double")
+    text = made.select(F.concat("before", "value", "after").alias("text"), "path")
+    cut = [c.value for r in secretscan.with_candidates(text, "cut", path="path").collect() for c in r.cut]
+    assert cut == [SECRET, f"com/page/{SECRET}"]

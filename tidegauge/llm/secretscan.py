@@ -20,10 +20,16 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import fresh, quoted, stored
 
 # Fixed values of this operator: what counts as a candidate, and the words its features know.
-ASSIGNED = r"""(?i:key|token|secret|passw(?:or)?d|pwd|credential)s?["']?\s{0,2}[:=]\s{0,2}["'][^"'\s]{6,}"""
-BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"
+# A name is taken from its start and tried first, so that it never counts as a value or as part of one.
+NAME = (
+    r"(?<![A-Za-z0-9_.+/-])[A-Za-z0-9_.+/-]*(?i:key|token|secret|passw(?:or)?d|pwd|credential)s?"
+    r"(?:[_.-][A-Za-z0-9_.-]{0,40}|[0-9]{1,3})?"
+)
+ASSIGNS = NAME + r"""["']?\s{0,2}[:=]\s{0,2}["']"""
+ASSIGNED = ASSIGNS + r"""[^"'\s]{6,}"""
+BARE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 CANDIDATE = f"{ASSIGNED}|{BARE}"
-VALUE = r"""[^"'\s]+$"""
+PREFIX = f"^(?:{ASSIGNS})(?=[^=])"
 DICTIONARY = (
     "access account admin api app auth aws backup base beta build cache card change changeme client cloud code config "
     "copy data database date default demo dev docker document dummy email empty enter env example fake file final foo "
@@ -183,6 +189,8 @@ class Forest:
 def train(labelled: DataFrame, settings: ForestSettings = ForestSettings()) -> Forest:
     """Fit a forest on labelled findings (before, value, after, path, label; nulls count as empty).
 
+    A finding is scanned as the text it comes from, and what the scanner cuts from the
+    labelled value is learned with its label; a value without a candidate teaches nothing.
     The findings are few against the documents; they are written once, as every level of
     the trees reads them again.
     """
@@ -190,7 +198,10 @@ def train(labelled: DataFrame, settings: ForestSettings = ForestSettings()) -> F
     rows = labelled.where("label is not null and length(value) > 0").select(
         "label", *[c.alias(n) for n, c in text.items()]
     )
-    found = rows.select("label", features(F.col("value"), F.col("before"), F.col("after"), F.col("path")).alias("f"))
+    begin = F.length("before")
+    placed = rows.select("label", "path", F.concat("before", "value", "after").alias("text"), begin.alias("begin"), (begin + F.length("value")).alias("end"))
+    cut = F.filter("cut", lambda c: (c["start"] < F.col("end")) & (c["stop"] > F.col("begin")))
+    found = with_candidates(placed, "cut", path="path").select("label", F.explode(cut).alias("c")).select("label", F.col("c.features").alias("f"))
     names = list(FEATURES)
     flat = found.select("label", *[F.col("f")[i].alias(n) for i, n in enumerate(names)])
     # Sorted, so that bootstrap samples do not depend on how the findings arrived.
@@ -242,8 +253,8 @@ def _offsets(lengths: Column) -> Column:
     return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), _running(sums, F.lit(0)).alias("s")), lambda z: _running(z["b"], z["s"])))
 
 
-def with_findings(docs: DataFrame, forest: Forest, name: str, text: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with an array column ``name``: start, stop, value, score, is_secret of each candidate.
+def with_candidates(docs: DataFrame, name: str, text: str = "text", path: str | None = None) -> DataFrame:
+    """``docs`` with an array column ``name``: start, stop, value, features of each candidate.
 
     ``start`` and ``stop`` count characters (code points) of the whole text. Null and
     empty texts have an empty array. A null path counts as empty.
@@ -271,9 +282,10 @@ def with_findings(docs: DataFrame, forest: Forest, name: str, text: str = "text"
 
     def finding(part: Column) -> Column:
         hit, gap = part["hit"], part["gap"]
-        value = F.regexp_extract(hit, VALUE, 0)
-        prefix = F.length(hit) - F.length(value)
-        before = F.concat(F.right(gap, F.lit(CONTEXT_CHARS)), F.substring(hit, F.lit(1), prefix))
+        named = F.regexp_extract(hit, PREFIX, 0)
+        prefix = F.length(named)
+        value = F.substring(hit, prefix + 1, F.length(hit))
+        before = F.concat(F.right(gap, F.lit(CONTEXT_CHARS)), named)
         after = F.left(part["next"], F.lit(CONTEXT_CHARS))
         start = part["begin"] + F.length(gap) + prefix
         return F.struct(
@@ -283,7 +295,16 @@ def with_findings(docs: DataFrame, forest: Forest, name: str, text: str = "text"
             features(value, before, after, where).alias("features"),
         )
 
-    bare = F.transform(parts, finding)
+    return made.withColumn(name, F.transform(parts, finding))
+
+
+def with_findings(docs: DataFrame, forest: Forest, name: str, text: str = "text", path: str | None = None) -> DataFrame:
+    """``docs`` with an array column ``name``: start, stop, value, score, is_secret of each candidate.
+
+    Places and empty texts are as in ``with_candidates``.
+    """
+    (bare,) = fresh(docs, "_candidates")
+    made = with_candidates(docs, bare, text, path)
     scored = F.transform(bare, lambda c: F.struct(c["start"], c["stop"], c["value"], forest.score(c["features"]).alias("score")))
     verdict = F.transform(
         scored,
