@@ -25,11 +25,29 @@ NAME = (
     r"(?<![A-Za-z0-9_.+/-])[A-Za-z0-9_.+/-]*(?i:key|token|secret|passw(?:or)?d|pwd|credential)s?"
     r"(?:[_.-][A-Za-z0-9_.-]{0,40}|[0-9]{1,3})?"
 )
-ASSIGNS = NAME + r"""["']?\s{0,2}[:=]\s{0,2}["']"""
-ASSIGNED = ASSIGNS + r"""[^"'\s]{6,}"""
+SIGN = NAME + r"""["'`\])]{0,2}\s{0,16}(?::=|=>|==|[:=])"""
+SCHEME = r"(?:(?i:bearer|basic|token)\s)?"
+OPENED = SIGN + r"""\s{0,16}["']""" + SCHEME
+UNQUOTED = SIGN + r"[ \t]{0,16}" + SCHEME
+# Addresses and key blocks have forms of their own.
+ELSEWHERE = r"(?!-----BEGIN|(?:[A-Za-z][A-Za-z0-9+.-]{0,20}:)?//)"
+# Repetitions are possessive: Java would otherwise take a stack frame for each.
+ASSIGNED = "|".join(
+    [
+        OPENED + ELSEWHERE + r"""(?:(?<=")(?=[^"\r\n]{6})(?:[^"\\\r\n]++|\\.)++(?=")|(?<=')(?=[^'\r\n]{6})(?:[^'\\\r\n]++|\\.)++(?=')|[^"'\s]{6,})""",
+        # Up to the next blank, without closing marks, a quote that ends something or the next tag.
+        UNQUOTED + ELSEWHERE + r"""(?=[^\s"'`]\S{5})"""
+        r"""(?:[^\s"'`<>,;)}\]]++|[,;)}\]]++(?=[^\s"'`<>,;)}\]])|["'`](?=\w)|[<>](?!/?[A-Za-z][A-Za-z0-9]*[\s/>]|[\s"'<>]|$))++""",
+    ]
+)
+LOGIN = r""":(?<=://[^\s:/@"'<>]{0,255}:)[^\s/"'<>]+(?=@)"""
+BLOCK = (
+    r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:[^-]*+(?:-{1,4}[^-]++)*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,})++)"
+)
 BARE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
-CANDIDATE = f"{ASSIGNED}|{BARE}"
-PREFIX = f"^(?:{ASSIGNS})(?=[^=])"
+CANDIDATE = f"{BLOCK}|{ASSIGNED}|{LOGIN}|{BARE}"
+PREFIX = f"^(?:{OPENED}|{UNQUOTED}|:)(?=[^=])"
 DICTIONARY = (
     "access account admin api app auth aws backup base beta build cache card change changeme client cloud code config "
     "copy data database date default demo dev docker document dummy email empty enter env example fake file final foo "
@@ -45,6 +63,7 @@ OTHER_WORDS = (
     r"invoice|tracking|version|build|ref|base64|image|src|href|class|color|example|sample)\W{0,6}$"
 )
 EXAMPLE_PATHS = r"(?i)(^|[/_.-])(tests?|docs?|examples?|samples?|fixtures?|mocks?|demo)([/_.-]|$)"
+EXPRESSION = r"^[$%@&]?[{(<\[]|^\$\w+$|^[A-Za-z_]\w*([.:>-]+[A-Za-z_]\w*)*[(\[]|^[A-Za-z_]+([.:]+[A-Za-z_]+)+;?$"
 REDACTED = "[SECRET]"
 
 CONTEXT_CHARS = 48
@@ -89,6 +108,10 @@ FEATURES: dict[str, Callable[[Column, Column, Column, Column], Column]] = {
     "other_word_before": lambda v, b, a, p: _flag(b.rlike(OTHER_WORDS)),
     "address_before": lambda v, b, a, p: _flag(b.rlike(r"(://|@|www\.)\S*$")),
     "quoted_after": lambda v, b, a, p: _flag(a.rlike("^[\"'`]")),
+    "login": lambda v, b, a, p: _flag(b.endswith(":") & a.startswith("@")),
+    "block": lambda v, b, a, p: _flag(v.startswith("-----BEGIN")),
+    "blanks": lambda v, b, a, p: _share(v, r"\s"),
+    "expression": lambda v, b, a, p: _flag(v.rlike(EXPRESSION)),
     "example_path": lambda v, b, a, p: _flag(p.rlike(EXAMPLE_PATHS)),
 }
 
@@ -106,6 +129,13 @@ SECRET_CONTEXTS = [
     'auth_token="', "x-api-key: ", 'set pwd = "', 'and the key = "',
 ]
 SECRET_VALUES = ["hex32", "hex40", "hex64", "HEX40", "base64", "mixed40", "mixed20", "prefixed", "AKIA"]
+PASSWORD_CONTEXTS = [
+    "password: ", "DB_PASSWORD=", "secret = ", "  client_secret: ", "PWD=", 'password = "', "export API_SECRET=", "token=",
+]
+PASSWORD_VALUES = ["password8", "password11", "marked11", "letters26", "mixed20"]
+LOGIN_CONTEXTS = ["postgres://bob:", "url: https://admin:", "mysql+driver://db_user:", 'amqp://app:']
+LOGIN_VALUES = [*PASSWORD_VALUES, "hex32"]
+BLOCK_CONTEXTS = ["", 'private_key: "', "key:\n", "it was the\n"]
 OTHER_CONTEXTS = [
     "commit ", "the md5 ", "sha256 checksum: ", 'etag: "', "uuid=", "order no. ", "card ", "tel. ", "invoice ", "id ",
     "https://host.example.com/page/", "mail to user@host.example.com/", "isbn ", "it was the ", "of the and ", ". ",
@@ -113,6 +143,7 @@ OTHER_CONTEXTS = [
 ]
 OTHER_VALUES = ["hex32", "hex40", "hex64", "digits16", "digits20", "uuid", "words", "base64"]
 PLACEHOLDER_VALUES = ["words", "placeholder", "repeated"]
+NO_PASSWORD_VALUES = ["words", "placeholder", "repeated", "word", "syllables", "sentence", "call", "member", "variable"]
 EXAMPLES_EACH = 6
 
 
@@ -123,6 +154,13 @@ def _drawn(kind: str, number: Column) -> Column:
     word = lambda i: F.element_at(
         F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64(number, F.lit(i)), F.lit(len(DICTIONARY))) + 1).cast("int")
     )
+    letters = F.translate(mixed, "0123456789", "GhKmPrTvXz")
+    pairs = F.array(*[F.lit(c + v) for c, v in zip("bdfklmnprstvghwc", "aeiouaeioaeiouae", strict=True)])
+    syllables = lambda n: F.array_join(
+        F.transform(F.split(F.substring(digest, 20, n), ""), lambda c: F.element_at(pairs, (F.conv(c, 16, 10) + 1).cast("int"))), ""
+    )
+    body = F.concat_ws("\n", *[F.base64(F.unhex(F.sha2(F.concat(digest, F.lit(str(i))), 256))) for i in range(3)])
+    block = lambda name: F.concat(F.lit(f"-----BEGIN {name}-----\n"), body, F.lit(f"\n-----END {name}-----"))
     return {
         "hex32": F.substring(digest, 1, 32),
         "hex40": F.substring(digest, 1, 40),
@@ -138,6 +176,18 @@ def _drawn(kind: str, number: Column) -> Column:
         "uuid": F.regexp_replace(F.substring(digest, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
         "words": F.concat(F.concat_ws("-", word(1), word(2), word(3)), F.lit("-v2")),
         "placeholder": F.concat(F.upper(word(1)), F.lit("_"), word(2), F.lit("_example_key_123")),
+        "password8": F.concat(syllables(3), F.substring(F.conv(F.substring(digest, 1, 8), 16, 10), 1, 1), F.substring(letters, 1, 1)),
+        "password11": F.concat(F.initcap(syllables(2)), F.substring(mixed, 1, 4), F.substring(F.conv(F.substring(digest, 1, 8), 16, 10), 1, 3)),
+        "marked11": F.concat(F.substring(mixed, 1, 4), F.element_at(F.split(F.lit("!&#$%*"), ""), (F.pmod(number, F.lit(6)) + 1).cast("int")), F.initcap(syllables(3)), F.lit("3")),
+        "letters26": F.substring(letters, 1, 26),
+        "word": F.concat(word(1), word(2)),
+        "syllables": syllables(4),
+        "sentence": F.concat_ws(" ", word(1), syllables(2), word(2), syllables(3), word(3)),
+        "call": F.concat(word(1), F.lit("_"), syllables(2), F.lit("("), word(2), F.lit(")")),
+        "member": F.concat(word(1), F.lit("."), syllables(3)),
+        "variable": F.concat(F.lit("${"), F.upper(word(1)), F.lit("_"), F.upper(word(2)), F.lit("}")),
+        "private": block("PRIVATE KEY"),
+        "private rsa": block("RSA PRIVATE KEY"),
         "repeated": F.concat(F.repeat(F.substring(digest, 1, 1), 24), F.lit("0000")),
     }[kind]
 
@@ -151,16 +201,20 @@ def labelled_findings(spark: SparkSession) -> DataFrame:
     pairs = [(c, v, 1.0) for c in SECRET_CONTEXTS for v in SECRET_VALUES]
     pairs += [(c, v, 0.0) for c in OTHER_CONTEXTS for v in OTHER_VALUES]
     pairs += [(c, v, 0.0) for c in SECRET_CONTEXTS for v in PLACEHOLDER_VALUES]
+    pairs += [(c, v, 1.0) for c in PASSWORD_CONTEXTS for v in PASSWORD_VALUES]
+    pairs += [(c, v, 0.0) for c in PASSWORD_CONTEXTS for v in NO_PASSWORD_VALUES]
+    pairs += [(c, v, 1.0) for c in LOGIN_CONTEXTS for v in LOGIN_VALUES]
+    pairs += [(c, v, 1.0) for c in BLOCK_CONTEXTS for v in ("private", "private rsa")]
     rows = spark.createDataFrame(
         [(i, c, v, label) for i, (c, v, label) in enumerate(pairs)], "pair int, before string, kind string, label double"
     )
     rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(EXAMPLES_EACH))))
     number = F.col("pair") * EXAMPLES_EACH + F.col("turn")
     value = F.coalesce(
-        *[F.when(F.col("kind") == k, _drawn(k, number)) for k in sorted({*SECRET_VALUES, *OTHER_VALUES, *PLACEHOLDER_VALUES})]
+        *[F.when(F.col("kind") == k, _drawn(k, number)) for k in sorted({v for _, v, _ in pairs})]
     )
     path = F.element_at(F.array(*map(F.lit, ["src/main", "", "tests/data", "web"])), F.pmod("turn", F.lit(4)).cast("int") + 1)
-    after = F.when(F.col("before").rlike("\"$"), '" ').when(F.col("before").rlike("'$"), "' ").otherwise(" ")
+    after = F.when(F.col("before").rlike("\"$"), '" ').when(F.col("before").rlike("'$"), "' ").when(F.col("before").rlike("://[^/]*:$"), "@db.host ").otherwise(" ")
     return rows.select("before", value.alias("value"), after.alias("after"), path.alias("path"), "label")
 
 
@@ -191,8 +245,8 @@ def train(labelled: DataFrame, settings: ForestSettings = ForestSettings()) -> F
 
     A finding is scanned as the text it comes from, and what the scanner cuts from the
     labelled value is learned with its label; a value without a candidate teaches nothing.
-    The findings are few against the documents; they are written once, as every level of
-    the trees reads them again.
+    The findings are few against the documents; their texts and features are written
+    once, as every level of the trees reads them again.
     """
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("value", "before", "after", "path")}
     rows = labelled.where("label is not null and length(value) > 0").select(
@@ -200,6 +254,7 @@ def train(labelled: DataFrame, settings: ForestSettings = ForestSettings()) -> F
     )
     begin = F.length("before")
     placed = rows.select("label", "path", F.concat("before", "value", "after").alias("text"), begin.alias("begin"), (begin + F.length("value")).alias("end"))
+    placed = stored(placed, "labelled_texts")
     cut = F.filter("cut", lambda c: (c["start"] < F.col("end")) & (c["stop"] > F.col("begin")))
     found = with_candidates(placed, "cut", path="path").select("label", F.explode(cut).alias("c")).select("label", F.col("c.features").alias("f"))
     names = list(FEATURES)
