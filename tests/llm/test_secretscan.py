@@ -1,6 +1,7 @@
 """Op 10: candidates, places, redaction, and the forest on findings it has not seen."""
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tidegauge.llm import secretscan
@@ -134,3 +135,29 @@ def test_other_forms_of_secrets(spark, forest):
 def test_long_unbroken_texts(spark, forest):
     rows = ["key_" * 100000, 'token="' + "a\\\\b" * 50000 + '"', "password=" + "x;y" * 100000, "-----BEGIN PRIVATE KEY-----" * 2000, "://a:" * 20000, ":" * 200000]
     assert len(found(spark, forest, *rows)) >= 2
+
+
+def test_candidates_against_another_engine(spark):
+    """Places and values as Python's regex module finds them, one match after the other."""
+    pattern, prefix = (regex.compile(p, regex.ASCII) for p in (secretscan.CANDIDATE, secretscan.PREFIX))
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    more = texts(spark, f"é \U0001f600 DB_PASSWORD={SECRET}&x\ny: 'a", f"{KEY_BLOCK} postgres://bob:S3cretPw9@db").select("doc_id", "text")
+    total = 0
+    for row in secretscan.with_candidates(docs.union(more), "cut").select("text", "cut").collect():
+        wanted = []
+        for m in pattern.finditer(row.text):
+            named = prefix.match(m.group())
+            start = m.start() + (named.end() if named else 0)
+            wanted.append((start, m.end(), row.text[start : m.end()]))
+        assert [(c.start, c.stop, c.value) for c in row.cut] == wanted
+        total += len(wanted)
+    assert total > 15
+
+
+def test_the_pattern_is_evaluated_once(spark, forest):
+    """No filter on the number of findings, which would hold the pattern once more for each use."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    plan = scan(docs, forest, path="source")._jdf.queryExecution().optimizedPlan()
+    one = secretscan.with_candidates(docs, "cut", path="source").select("cut")._jdf.queryExecution().optimizedPlan()
+    count = lambda p: p.toString().count("regexp_extract_all(")
+    assert count(plan) == count(one) and "size(" not in "".join(x for x in plan.toString().splitlines() if "Filter" in x)

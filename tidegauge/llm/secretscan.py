@@ -147,9 +147,9 @@ NO_PASSWORD_VALUES = ["words", "placeholder", "repeated", "word", "syllables", "
 EXAMPLES_EACH = 6
 
 
-def _drawn(kind: str, number: Column) -> Column:
-    """A value of a kind, made from the digest of a number."""
-    digest = F.sha2(F.concat(F.lit(kind), number.cast("string")), 256)
+def _drawn(kind: Column, number: Column) -> dict[str, Column]:
+    """A value of every kind, made from the digest of a kind and a number."""
+    digest = F.sha2(F.concat(kind, number.cast("string")), 256)
     mixed = F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "Q")
     word = lambda i: F.element_at(
         F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64(number, F.lit(i)), F.lit(len(DICTIONARY))) + 1).cast("int")
@@ -189,7 +189,7 @@ def _drawn(kind: str, number: Column) -> Column:
         "private": block("PRIVATE KEY"),
         "private rsa": block("RSA PRIVATE KEY"),
         "repeated": F.concat(F.repeat(F.substring(digest, 1, 1), 24), F.lit("0000")),
-    }[kind]
+    }
 
 
 def labelled_findings(spark: SparkSession) -> DataFrame:
@@ -210,9 +210,8 @@ def labelled_findings(spark: SparkSession) -> DataFrame:
     )
     rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(EXAMPLES_EACH))))
     number = F.col("pair") * EXAMPLES_EACH + F.col("turn")
-    value = F.coalesce(
-        *[F.when(F.col("kind") == k, _drawn(k, number)) for k in sorted({v for _, v, _ in pairs})]
-    )
+    drawn = _drawn(F.col("kind"), number)
+    value = F.coalesce(*[F.when(F.col("kind") == k, drawn[k]) for k in sorted({v for _, v, _ in pairs})])
     path = F.element_at(F.array(*map(F.lit, ["src/main", "", "tests/data", "web"])), F.pmod("turn", F.lit(4)).cast("int") + 1)
     after = F.when(F.col("before").rlike("\"$"), '" ').when(F.col("before").rlike("'$"), "' ").when(F.col("before").rlike("://[^/]*:$"), "@db.host ").otherwise(" ")
     return rows.select("before", value.alias("value"), after.alias("after"), path.alias("path"), "label")
@@ -256,7 +255,7 @@ def train(labelled: DataFrame, settings: ForestSettings = ForestSettings()) -> F
     placed = rows.select("label", "path", F.concat("before", "value", "after").alias("text"), begin.alias("begin"), (begin + F.length("value")).alias("end"))
     placed = stored(placed, "labelled_texts")
     cut = F.filter("cut", lambda c: (c["start"] < F.col("end")) & (c["stop"] > F.col("begin")))
-    found = with_candidates(placed, "cut", path="path").select("label", F.explode(cut).alias("c")).select("label", F.col("c.features").alias("f"))
+    found = _each(with_candidates(placed, "cut", path="path"), cut, "label").select("label", F.col("item.features").alias("f"))
     names = list(FEATURES)
     flat = found.select("label", *[F.col("f")[i].alias(n) for i, n in enumerate(names)])
     # Sorted, so that bootstrap samples do not depend on how the findings arrived.
@@ -383,7 +382,17 @@ def scan(docs: DataFrame, forest: Forest, id_column: str = "doc_id", text: str =
     columns = [F.col(quoted(id_column)).alias("doc_id"), F.col(quoted(text)).alias("text")]
     columns += [] if path is None else [F.col(quoted(path)).alias("path")]
     found = with_findings(docs.select(*columns), forest, "findings", path=None if path is None else "path")
-    return found.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*")
+    return _each(found, F.col("findings"), "doc_id").select("doc_id", "item.*")
+
+
+def _each(rows: DataFrame, items: Column, *columns: str) -> DataFrame:
+    """One row per element of ``items``, as column ``item``, next to ``columns``.
+
+    A plain explode makes the optimizer filter on the array's size below the projections,
+    with every expression the array is made of written out in that filter. Exploding empty
+    arrays too, and dropping their rows, keeps the patterns evaluated once.
+    """
+    return rows.select(*columns, F.explode_outer(items).alias("item")).where("item is not null")
 
 
 def redact(docs: DataFrame, forest: Forest, text: str = "text", path: str | None = None, n_chars: str | None = None) -> DataFrame:
