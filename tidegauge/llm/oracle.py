@@ -83,7 +83,80 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged LEFT JOIN failed USING (row_no)
 """
 
+OP11_LEXICAL_SEARCH = r"""
+WITH split AS (
+    SELECT row_number() OVER () AS row_no, doc_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), corpus AS (
+    SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM split WHERE len(terms) > 0
+), counts AS (
+    SELECT row_no, doc_id, n, term, count(*)::BIGINT AS tf
+    FROM (SELECT row_no, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM split) GROUP BY ALL
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * max(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counts, corpus WHERE term IN (SELECT term FROM asked) GROUP BY term
+), scores AS (
+    SELECT item_id, row_no, doc_id,
+           sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN counts USING (term), corpus
+    WHERE doc_id IS NOT NULL GROUP BY item_id, row_no, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+def _vector_codes(rounds: int = 4) -> str:
+    """Assignment and replacement written out round by round; tables p and b hold parts and entries."""
+    steps = []
+    for turn in range(rounds + 1):
+        steps.append(f"""near{turn} AS (
+    SELECT row_no, part, min(struct_pack(far := far, entry := entry)) AS best
+    FROM (SELECT row_no, p.part, entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS far
+          FROM p JOIN book{turn} b ON p.part = b.part)
+    GROUP BY row_no, part
+)""")
+        if turn < rounds:
+            steps.append(f"""sums{turn} AS (
+    SELECT part, entry, place, sum(c)::BIGINT AS s, count(*)::BIGINT AS n
+    FROM (SELECT p.part, best.entry AS entry, unnest(p.x) AS c, unnest(range(len(p.x))) AS place FROM p JOIN near{turn} USING (row_no, part))
+    GROUP BY part, entry, place
+), book{turn + 1} AS (
+    SELECT part, entry, coalesce(m.x, b.x) AS x
+    FROM book{turn} b LEFT JOIN (
+        SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS x FROM sums{turn} GROUP BY part, entry) m USING (part, entry)
+)""")
+    return f"""
+WITH kept AS (
+    SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row_no, vec_id, label,
+           list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), p AS (
+    SELECT row_no, part, list_slice(x, part * len(x) // 4 + 1, (part + 1) * len(x) // 4) AS x
+    FROM kept, (SELECT unnest(range(4)) AS part)
+), book0 AS (
+    SELECT part, row_no - 1 AS entry, x FROM p WHERE row_no <= 256
+), {", ".join(steps)}, coded AS (
+    SELECT row_no, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.far)::BIGINT AS error
+    FROM near{rounds} GROUP BY row_no
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (row_no)
+"""
+
+
 ALL: dict[str, str] = {
     "op2_quality_rules": OP2_QUALITY_RULES,
     "op9_nearest_vectors": OP9_NEAREST_VECTORS,
+    "op11_lexical_search": OP11_LEXICAL_SEARCH,
+    "op12_vector_codes": _vector_codes(),
 }

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import ann, bpe, langid, licenses, mixing, quality_rules, secretscan, simhash, site_quality, toxicity
+from tidegauge.llm import (
+    ann, bpe, langid, lexical, licenses, mixing, quality_rules, secretscan, simhash, site_quality, toxicity, urlfilter, vectorcodes,
+)
 from tidegauge.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +95,32 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(table(spark, sf_dir, "documents"), forest, path="source")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+# The rules of the query.
+URL_RULES = (
+    urlfilter.Rule("allow", "org", "/"),
+    urlfilter.Rule("block", "example.org", "/es/"),
+    urlfilter.Rule("block", "example.org", "/en/1"),
+    urlfilter.Rule("allow", "com", "/fr/"),
+    urlfilter.Rule("block", "com", "/de/"),
+)
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that a rule names teach the trees what to do with the others."""
+    pages = table(spark, sf_dir, "pages")
+    model = urlfilter.train(urlfilter.labelled_by(pages, URL_RULES))
+    return urlfilter.filter_urls(pages, URL_RULES, model)
+
+
 ALL: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
@@ -104,4 +132,7 @@ ALL: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_nearest_vectors": op9_nearest_vectors,
     "op10_secret_scan": op10_secret_scan,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_url_filter": op13_url_filter,
 }
