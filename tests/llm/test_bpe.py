@@ -18,8 +18,8 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def both(text):
     theirs = LIBRARY.encode(text, add_special_tokens=False).ids
-    ((ids, decoded),) = OURS.encode([text.encode()])
-    return (ids.tolist(), decoded), (theirs, LIBRARY.decode(theirs, skip_special_tokens=False))
+    (ids,) = OURS.encode([text.encode()])
+    return (ids.tolist(), OURS.decode(ids.tolist())), (theirs, LIBRARY.decode(theirs, skip_special_tokens=False))
 
 
 @pytest.mark.parametrize(
@@ -53,7 +53,7 @@ def test_small_stores_change_nothing(monkeypatch):
     texts = [f"{'alpha beta gamma delta'[i % 9 :]} word{i} again" for i in range(200)]
     monkeypatch.setattr(bpe, "CACHE_WORDS", 20)
     small = bpe.vocabulary.__wrapped__(PATH)
-    found = [ids.tolist() for ids, _ in small.encode(t.encode() for t in texts)]
+    found = [ids.tolist() for ids in small.encode(t.encode() for t in texts)]
     assert found == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -68,6 +68,15 @@ def test_query(spark):
         assert tuple(rows[d.doc_id])[1:] == (len(ids), digest(" ".join(map(str, ids))), digest(text))
 
 
+def test_digests_in_parts(monkeypatch):
+    monkeypatch.setattr(bpe, "IDS_AT_ONCE", 3)
+    for text in ("", "one", "a b c d e f g", "seven words make more than three ids"):
+        ids = LIBRARY.encode(text, add_special_tokens=False).ids
+        wanted = " ".join(map(str, ids)), LIBRARY.decode(ids, skip_special_tokens=False)
+        (found,) = OURS.encode([text.encode()])
+        assert OURS.digests(found) == tuple(hashlib.sha256(w.encode()).hexdigest() for w in wanted)
+
+
 def test_odd_rows(odd_documents, no_documents):
     made = bpe.encode_documents(odd_documents, PATH)
     rows = made.withColumn("again", bpe.decoded("ids", PATH)).collect()

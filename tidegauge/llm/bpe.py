@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import re
+import string
 import unicodedata
 from array import array
-from collections.abc import Collection, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -42,12 +44,21 @@ NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7DC: 0x19B}
 NEW_CAPITALS |= {c: c + 1 for c in (0xA7CC, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA)}
 NEW_CAPITALS |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
 
-# Words kept with their encoding in each Python worker; beyond it the store starts anew.
+# Words, and pre-tokens, kept with their ids in each Python worker: so many in either generation.
 CACHE_WORDS = 150_000
+IDS_AT_ONCE = 1 << 16
+# ASCII signs that are neither letters nor digits: at a word's end they are one pre-token.
+SIGNS_TEXT = string.punctuation
+SIGNS = SIGNS_TEXT.encode()
 ROWS_AT_ONCE = 256
 NO_PAIR = 1 << 62
 
 ENCODED = (T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()))
+DIGESTS = (
+    T.StructField("n_tokens", T.LongType()),
+    T.StructField("ids_sha256", T.StringType()),
+    T.StructField("decoded_sha256", T.StringType()),
+)
 
 
 def byte_letters() -> list[str]:
@@ -77,36 +88,40 @@ class Merges:
         return np.where(self.keys[at] == key, self.ranks[at] << 32 | place, NO_PAIR)
 
 
-def merge_all(words: list[list[int]], merges: Merges) -> list[list[int]]:
-    """Merge the symbols of each word until no pair is left, always the leftmost of lowest rank.
+def merge_all(words: list[bytes], inner: np.ndarray, last: np.ndarray, merges: Merges) -> list[bytes]:
+    """The ids of each word of one byte or more, as 32-bit numbers, once no pair is left to merge.
 
-    Every word has a segment tree. A leaf holds rank and place of the pair that starts
-    at a symbol, a node the lower of its two, so the root is the next merge. A merge
-    changes three leaves at most, each in a number of steps that is logarithmic in the
-    word's length. Words of similar length are worked on together, one merge of each at
-    a time.
+    A byte starts as its symbol in ``inner``, a word's last byte as that in ``last``; merged is
+    always the leftmost pair of lowest rank. Every word has a segment tree. A leaf holds rank
+    and place of the pair that starts at a symbol, a node the lower of its two, so the root is
+    the next merge. A merge changes three leaves at most, each in a number of steps that is
+    logarithmic in the word's length. Words of similar length are worked on together, one
+    merge of each at a time.
     """
-    made: list[list[int]] = list(words)
+    made = list(words)
     by_width: dict[int, list[int]] = {}
     for i, word in enumerate(words):
-        if len(word) > 1:
-            by_width.setdefault(1 << (len(word) - 1).bit_length(), []).append(i)
+        by_width.setdefault(1 << max(1, (len(word) - 1).bit_length()), []).append(i)
     for width, group in by_width.items():
         step = max(1, (1 << 21) // width)
         for start in range(0, len(group), step):
             part = group[start : start + step]
-            for i, symbols in zip(part, _merge_together([words[i] for i in part], width, merges)):
-                made[i] = symbols
+            for i, ids in zip(part, _merge_together([words[i] for i in part], width, inner, last, merges)):
+                made[i] = ids
     return made
 
 
-def _merge_together(words: list[list[int]], width: int, merges: Merges) -> list[list[int]]:
+def _merge_together(
+    words: list[bytes], width: int, inner: np.ndarray, last: np.ndarray, merges: Merges
+) -> Iterator[bytes]:
     """Merge words of at most ``width`` symbols; row r of the flat arrays is word r."""
     n, end = len(words), width
-    symbols = np.full((n, width + 1), -1, np.int64)
-    for row, word in zip(symbols, words):
-        row[: len(word)] = word
     places = np.arange(width)
+    lengths = np.array([len(word) for word in words])
+    letters = np.frombuffer(b"".join(words), np.uint8)
+    symbols = np.full((n, width + 1), -1, np.int64)
+    symbols[:, :-1][places < lengths[:, None]] = inner[letters]
+    symbols[np.arange(n), lengths - 1] = last[letters[np.cumsum(lengths) - 1]]
     tree = np.full((n, 2 * width), NO_PAIR, np.int64)
     tree[:, width:] = merges.leaves(symbols[:, :-1], symbols[:, 1:], places)
     size = width
@@ -132,20 +147,45 @@ def _merge_together(words: list[list[int]], width: int, merges: Merges) -> list[
         symbols[own + gone] = -1
         after[own + at] = following
         before[own + following] = at
-        last = before[own + at]
-        first = last < 0
-        last = np.where(first, at, last)
+        prior = before[own + at]
+        first = prior < 0
+        prior = np.where(first, at, prior)
         value = merges.leaves(symbols[own + at], symbols[own + following], at)
-        earlier = merges.leaves(symbols[own + last], symbols[own + at], last)
+        earlier = merges.leaves(symbols[own + prior], symbols[own + at], prior)
         tree[top + width + gone] = NO_PAIR
         tree[top + width + at] = value
-        tree[top + width + last] = np.where(first, value, earlier)
-        nodes = np.stack([gone, at, last]) + width >> 1
+        tree[top + width + prior] = np.where(first, value, earlier)
+        nodes = np.stack([gone, at, prior]) + width >> 1
         while nodes[0, 0]:
             spot = top + nodes
             tree[spot] = np.minimum(tree[spot + nodes], tree[spot + nodes + 1])
             nodes >>= 1
-    return [[s for s in row if s >= 0] for row in symbols.reshape(n, -1).tolist()]
+    left = symbols.reshape(n, -1)
+    there = left >= 0
+    flat, ends = left[there].astype(np.int32).tobytes(), 4 * np.cumsum(there.sum(axis=1))
+    for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        yield flat[start:end]
+
+
+class Known:
+    """Values by key in two generations: what was used lately outlives the renewal of a full store."""
+
+    def __init__(self) -> None:
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def unknown(self, wanted: set[bytes]) -> list[bytes]:
+        """The keys without a value; the others of ``wanted`` are ``recent`` until the next call."""
+        if len(self.recent) + len(wanted) > CACHE_WORDS:
+            self.recent, self.older = {}, self.recent
+        recent, older = self.recent, self.older
+        new = []
+        for key in wanted.difference(recent):
+            if key in older:
+                recent[key] = older[key]
+            else:
+                new.append(key)
+        return new
 
 
 @dataclass
@@ -157,26 +197,30 @@ class Vocabulary:
     merges: Merges
     pattern: Any
     special: Any
+    special_tokens: Sequence[str]
     suffix: str
 
     def __post_init__(self) -> None:
         letters = byte_letters()
-        self.inner = [self.piece_ids[x] for x in letters]
-        self.last = [self.piece_ids[x + self.suffix] for x in letters]
-        self.spaced = {i: " " + piece for i, piece in self.pieces.items()}
-        # By pre-token: ids. By word between blanks: ids as 32-bit numbers, and their
-        # decoding with a blank before each piece.
-        self.tokens: dict[str, list[int]] = {}
-        self.word_ids: dict[bytes, bytes] = {}
-        self.word_pieces: dict[bytes, str] = {}
-
-    def _pre_tokens(self, word: bytes) -> list[str]:
+        self.inner = np.array([self.piece_ids[x] for x in letters])
+        self.last = np.array([self.piece_ids[x + self.suffix] for x in letters])
+        self.special_ids = {t.encode(): array("i", [self.piece_ids[t]]).tobytes() for t in self.special_tokens}
+        self.special_starts = {t[0] for t in self.special_tokens}
+        # Ids as 32-bit numbers: of pre-tokens, and of words between blanks.
+        self.tokens, self.words = Known(), Known()
+
+    def _pre_tokens(self, word: bytes) -> list[bytes]:
         """Normalised pre-tokens of a word without blanks; special tokens stay as they are.
 
         NFC and lower case are taken letter by letter: a final sigma has no form of its own.
         """
+        core = word.rstrip(SIGNS)
+        if core.isalpha():
+            return [word.lower()] if len(core) == len(word) else [core.lower(), word[len(core) :]]
         text = word.decode("utf-8", "replace")
-        parts = self.special.split(text) if self.special.search(text) else [text]
+        parts = [text]
+        if not self.special_starts.isdisjoint(text) and self.special.search(text):
+            parts = self.special.split(text)
         found: list[str] = []
         for part in parts:
             if len(parts) > 1 and self.special.fullmatch(part):
@@ -185,63 +229,55 @@ class Vocabulary:
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").translate(NEW_CAPITALS)
             part = part.lower()
-            if part.isalpha():
-                found.append(part)
-            elif part[:-1].isalpha() and unicodedata.category(part[-1]) == "Po":
-                found += [part[:-1], part[-1]]
+            letters = part.rstrip(SIGNS_TEXT)
+            if letters.isalpha():
+                found += [letters, part[len(letters) :]]
             elif LATER.search(part):
                 spans = [m.span() for m in self.pattern.finditer(LATER.sub(NO_LETTER, part))]
                 found += [part[a:b] for a, b in spans]
             else:
                 found += self.pattern.findall(part)
-        return found
+        return [t.encode() for t in found if t]
 
-    def learn(self, words: Collection[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Encode words that are not stored yet, all new pre-tokens together."""
-        split = {w: self._pre_tokens(w) for w in words}
-        wanted = {t for tokens in split.values() for t in tokens}
-        if len(self.tokens) + len(wanted) > CACHE_WORDS:
-            self.tokens.clear()
-        new = list(wanted.difference(self.tokens))
-        start = []
-        for token in new:
-            if token[0] == "<" and self.special.fullmatch(token):
-                start.append([self.piece_ids[token]])
-            else:
-                data = token.encode("utf-8")
-                start.append([self.inner[b] for b in data[:-1]] + [self.last[data[-1]]])
-        self.tokens.update(zip(new, merge_all(start, self.merges)))
-        known, pieces = self.tokens, self.spaced
-        for word, tokens in split.items():
-            ids = known[tokens[0]] if len(tokens) == 1 else [i for t in tokens for i in known[t]]
-            self.word_ids[word] = array("i", ids).tobytes()
-            self.word_pieces[word] = "".join([pieces[i] for i in ids])
-
-    def decode(self, ids: list[int]) -> str:
+        split = [self._pre_tokens(w) for w in words]
+        new = self.tokens.unknown({t for tokens in split for t in tokens})
+        plain = [t for t in new if t not in self.special_ids]
+        known, stored = self.tokens.recent, self.words.recent
+        known.update(zip(plain, merge_all(plain, self.inner, self.last, self.merges)))
+        known.update(self.special_ids)
+        for word, tokens in zip(words, split):
+            stored[word] = known[tokens[0]] if len(tokens) == 1 else b"".join([known[t] for t in tokens])
+
+    def decode(self, ids: Iterable[int]) -> str:
         """The pieces joined by blanks, as the file names no decoder."""
-        pieces = self.pieces
-        return " ".join([pieces[i] for i in ids])
-
-    def encode(self, texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, str]]:
-        """The ids of each whole text and their decoding."""
-        ids_of, pieces_of = self.word_ids, self.word_pieces
+        return " ".join(map(self.pieces.__getitem__, ids))
+
+    def digests(self, ids: np.ndarray) -> tuple[str, str]:
+        """SHA-256 of the decimal ids joined by one space, and of the decoding."""
+        numbers, pieces = hashlib.sha256(), hashlib.sha256()
+        for start in range(0, len(ids), IDS_AT_ONCE):
+            part = ids[start : start + IDS_AT_ONCE].tolist()
+            blank = " " if start else ""
+            numbers.update((blank + " ".join(map(str, part))).encode())
+            pieces.update((blank + self.decode(part)).encode())
+        return numbers.hexdigest(), pieces.hexdigest()
+
+    def encode(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each whole text."""
         for group in _in_groups(texts):
             ids: list[list[bytes]] = [[] for _ in group]
-            decoded: list[list[str]] = [[] for _ in group]
             for block in _blocks(group):
                 wanted: set[bytes] = set()
                 for _, words in block:
                     wanted.update(words)
-                # Emptied before a block at most, never while it is read.
-                if len(ids_of) + len(wanted) > CACHE_WORDS:
-                    ids_of.clear()
-                    pieces_of.clear()
-                self.learn(wanted.difference(ids_of))
+                self.learn(self.words.unknown(wanted))
+                ids_of = self.words.recent.__getitem__
                 for i, words in block:
-                    ids[i].append(b"".join(map(ids_of.__getitem__, words)))
-                    decoded[i].append("".join(map(pieces_of.__getitem__, words)))
-            for parts, pieces in zip(ids, decoded):
-                yield np.frombuffer(b"".join(parts), np.int32), "".join(pieces)[1:]
+                    ids[i].append(b"".join(map(ids_of, words)))
+            for parts in ids:
+                yield np.frombuffer(b"".join(parts), np.int32)
 
 
 def _in_groups(texts: Iterable[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -295,6 +331,7 @@ def vocabulary(path: str) -> Vocabulary:
         Merges([(ids[left], ids[right], ids[left + right]) for left, right in merges]),
         regex.compile(splitter[0]["pattern"]["Regex"]),
         regex.compile("(" + "|".join(map(regex.escape, special)) + ")"),
+        special,
         model["end_of_word_suffix"],
     )
 
@@ -315,23 +352,56 @@ def encode_documents(
     is opened by each Python worker, so its path must exist on every executor. Results
     leave the worker a few hundred texts at a time.
     """
-    kept = [c for c in (docs.columns if columns is None else columns) if c.lower() not in ("ids", "decoded")]
+
+    def made(known: Vocabulary, rows: Iterator[np.ndarray]) -> list[pa.Array]:
+        held = list(rows)
+        return [_ids_array(held), pa.array([known.decode(ids.tolist()) for ids in held], pa.string())]
+
+    return _per_text(docs, vocabulary_path, text, columns, ENCODED, made)
+
+
+def encode_digests(
+    docs: DataFrame, vocabulary_path: str, text: str = "text", columns: Sequence[str] | None = None
+) -> DataFrame:
+    """As ``encode_documents``, but ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` instead of ids and decoding.
+
+    The digests are those of the decimal ids joined by one space and of the decoding in
+    UTF-8. Ids and decodings are made and hashed in the Python workers and never leave them.
+    """
+
+    def made(known: Vocabulary, rows: Iterator[np.ndarray]) -> list[pa.Array]:
+        found = [(len(ids), *known.digests(ids)) for ids in rows]
+        return [pa.array(column, t) for column, t in zip(zip(*found), (pa.int64(), pa.string(), pa.string()))]
+
+    return _per_text(docs, vocabulary_path, text, columns, DIGESTS, made)
+
+
+def _per_text(
+    docs: DataFrame,
+    vocabulary_path: str,
+    text: str,
+    columns: Sequence[str] | None,
+    fields: tuple[T.StructField, ...],
+    made: Callable[[Vocabulary, Iterator[np.ndarray]], list[pa.Array]],
+) -> DataFrame:
+    """``columns`` of ``docs`` and what ``made`` makes of the ids of some hundred texts at a time."""
+    names = [f.name for f in fields]
+    kept = [c for c in (docs.columns if columns is None else columns) if c.lower() not in names]
     # Plain names on the way: mapInArrow takes a dot in a name for a field.
     plain = [f"c{i}" for i in range(len(kept))]
     carried = [T.StructField(name, docs.schema[c].dataType) for name, c in zip(plain, kept)]
-    schema = T.StructType([*carried, *ENCODED])
+    schema = T.StructType([*carried, *fields])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(vocabulary_path)
         for batch in batches:
             for start in range(0, len(batch), ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)
-                rows = list(known.encode(t.as_py() for t in part.column(len(kept))))
-                made = [_ids_array([ids for ids, _ in rows]), pa.array([d for _, d in rows], pa.string())]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], schema.names)
+                ids = known.encode(t.as_py() for t in part.column(len(kept)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made(known, ids)], schema.names)
 
     rows = docs.select(*[F.col(quoted(c)) for c in kept], text_or_empty(text).cast("binary"))
-    return rows.toDF(*plain, "text").mapInArrow(encode, schema).toDF(*kept, "ids", "decoded")
+    return rows.toDF(*plain, "text").mapInArrow(encode, schema).toDF(*kept, *names)
 
 
 def decoded(ids: str, vocabulary_path: str) -> Column:

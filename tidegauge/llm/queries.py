@@ -71,13 +71,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of their decoding."""
-    made = bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), columns=["doc_id"])
-    return made.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe.encode_digests(docs, public_tokenizers.path(VOCABULARY), columns=["doc_id"])
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
