@@ -256,6 +256,9 @@ REPORT = """feature, n_ref, n_cur, round(ks_stat, 6) as ks_stat, round(p_raw, 6)
   sig_none, sig_bonferroni, sig_bh, null_shift, flagged"""
 
 LINE_DRIFT = f"with {LINE_BATCHES}, {drift(LINE_FEATURES)}"
+ALL_VALUES = 1 << 62
+EXACT_LINE_DRIFT = f"with {LINE_BATCHES}, {drift(LINE_FEATURES, cap=ALL_VALUES)}"
+EXACT_WINDOW_DRIFT = f"with {WINDOWS}, {drift(LINE_FEATURES, cap=ALL_VALUES)}"
 VECTOR_DRIFT = f"with {VECTOR_BATCHES}, {drift(EMBEDDING_FEATURES)}"
 WINDOW_DRIFT = f"with {WINDOWS}, {drift(LINE_FEATURES)}"
 
@@ -517,6 +520,24 @@ ALL: dict[str, str] = {
         LINE_DRIFT, "feature, round(null_rate, 6) as null_rate, round(null_delta, 6) as null_delta, null_shift"
     ),
     "drift_report": _of_features(LINE_DRIFT, REPORT),
+    "exact_drift_report": _of_features(EXACT_LINE_DRIFT, REPORT),
+    "psi_categorical": f"""with {LINES},
+      sides as (
+        select 'r' as side, (l_quantity > 25)::int as fits, * from cutoff where pos < cut
+        union all select 'c', 0, * from cutoff where pos >= cut),
+      tall as (
+        select side, unnest([
+          {{'f': 'fits', 'v': fits::varchar}}, {{'f': 'l_returnflag', 'v': l_returnflag}},
+          {{'f': 'l_linestatus', 'v': l_linestatus}}, {{'f': 'l_linenumber', 'v': l_linenumber::varchar}}]) as x from sides),
+      merged as (
+        select x.f as feature, x.v as value, count(*) filter (where side = 'r') as r, count(*) filter (where side = 'c') as c
+        from tall group by all),
+      shares as (
+        select feature, sum(r) over w as n_ref, sum(c) over w as n_cur, count(*) over w as n_values,
+          greatest(r / sum(r) over w, 1e-6) as e, greatest(c / sum(c) over w, 1e-6) as a
+        from merged window w as (partition by feature))
+      select feature, n_ref::bigint as n_ref, n_cur::bigint as n_cur, n_values, round(sum((a - e) * ln(a / e)), 6) as psi
+      from shares group by all""",
     "batch_verdict": f"""with {LINE_BATCHES}, {drift(["l_quantity", "l_extendedprice", "l_discount"])}, {VERDICT}
       select n_rows, n_features, n_flagged, n_null_shift, round(max_null_delta, 6) as max_null_delta, worst_null_feature,
         top_feature, round(top_psi, 6) as top_psi, round(pred_psi, 6) as pred_psi,
@@ -539,6 +560,7 @@ ALL: dict[str, str] = {
     "stored_profile_report": _of_features(LINE_DRIFT, REPORT),
     "null_experiment": NULL_EXPERIMENT,
     "window_drift": _of_features(WINDOW_DRIFT, f'bk as "window", {REPORT}'),
+    "exact_window_drift": _of_features(EXACT_WINDOW_DRIFT, f'bk as "window", {REPORT}'),
     "calibration_windows": f"{CALIBRATION} select * from calibrated",
     "calibration_summary": f"""{CALIBRATION} select max(share_flagged) as max_share_flagged, 0.05e0 as share_threshold,
       max(max_null_delta) as max_null_delta, 0.35e0 as null_threshold, max(pred_psi) as max_pred_psi,

@@ -12,6 +12,7 @@ from catalogue.inputs import EMBEDDING_FEATURES, LINE_FEATURES, TRANSACTION_FEAT
 from tidegauge.operators import features as feat
 from tidegauge.operators.compare import compare, features_only, missing_columns, top_drifted, verdict, worst_missing
 from tidegauge.operators.contract import accepted, overlay_defaults, rejected, with_contract, with_decision
+from tidegauge.operators.exact import categorical_psi, exact_compare
 from tidegauge.operators.gate import evaluate_gates
 from tidegauge.operators.ordering import RowOrder, Splits, baseline_batch, baseline_cut, id_levels
 from tidegauge.operators.profile import PREDICTION, Profile, build_profile, decile_edges, missing_rates, monitored_features
@@ -192,6 +193,19 @@ def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(line_comparison(spark, sf_dir))
 
 
+def exact_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report against all values of the baseline."""
+    base, live = inputs.line_batches(spark, sf_dir)
+    return report(exact_compare(base, live, LINE_FEATURES, "pred"))
+
+
+def psi_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes with few values, one of which turns all 0 after the baseline."""
+    base, live = (rows.withColumn("fits", (F.col("l_quantity") > 25).cast("int")) for rows in inputs.line_batches(spark, sf_dir))
+    found = categorical_psi(base, live.withColumn("fits", F.lit(0)), ["fits", "l_returnflag", "l_linestatus", "l_linenumber"])
+    return rounded(found, psi=6)
+
+
 VERDICT_DIGITS = {
     "max_null_delta": 6, "top_psi": 6, "pred_psi": 6, "pred_mean_baseline": 6, "pred_mean_batch": 6, "share_flagged": 6,
 }
@@ -269,6 +283,11 @@ def window_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(compare(later, profile, "pred", ["window"]), "window")
 
 
+def exact_window_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, later = validation.split_windows(inputs.drifting_lines(spark, sf_dir), line_order())
+    return report(exact_compare(base, later, LINE_FEATURES, "pred", ["window"]), "window")
+
+
 def calibration_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, later, profile = windows(spark, sf_dir)
     return validation.calibration(validation.window_verdicts(later, profile, "pred"))
@@ -567,6 +586,8 @@ ALL: dict[str, Query] = {
     "flag_bh": flags("bh"),
     "missing_rate_shift": missing_rate_shift,
     "drift_report": drift_report,
+    "exact_drift_report": exact_drift_report,
+    "psi_categorical": psi_categorical,
     "batch_verdict": batch_verdict,
     "top_drifted": top_drifted_query,
     "worst_missing": worst_missing_query,
@@ -575,6 +596,7 @@ ALL: dict[str, Query] = {
     "stored_profile_report": stored_profile_report,
     "null_experiment": null_experiment,
     "window_drift": window_drift,
+    "exact_window_drift": exact_window_drift,
     "calibration_windows": calibration_windows,
     "calibration_summary": calibration_summary,
     "roc_auc_by_window": roc_auc_by_window,

@@ -113,7 +113,7 @@ def feature_rows(
         *profile.by, "slot", "feature", "n_ref", "ref_bins", F.col("null_rate").alias("_base_null"), "sample_mean"
     )
     joined = stats.join(F.broadcast(described), [*profile.by, "slot"])
-    return _flags(_statistics(joined, profile.bins, settings), by, settings)
+    return flag_rows(with_statistics(joined, profile.bins, settings), by, settings)
 
 
 def compare(
@@ -247,7 +247,8 @@ def _unpivot(
     return wanted.select(*by, "slot", finite(F.col("value")).alias("value"))
 
 
-def _statistics(df: DataFrame, bins: int, settings: DriftSettings) -> DataFrame:
+def with_statistics(df: DataFrame, bins: int, settings: DriftSettings) -> DataFrame:
+    """KS, PSI and missing-rate columns from counts: feature, n_rows, n_ref, n_cur, ref_bins, _bin<b>, _gap, _base_null."""
     fewest = F.least("n_ref", "n_cur")
     is_feature = F.col("feature") != PREDICTION
     # Features need enough values for a test; the prediction has PSI only.
@@ -272,7 +273,8 @@ def _statistics(df: DataFrame, bins: int, settings: DriftSettings) -> DataFrame:
     ).withColumn("null_delta", F.coalesce(F.abs(F.col("null_rate") - F.col("_base_null")), F.lit(0.0)))
 
 
-def _flags(df: DataFrame, by: list[str], settings: DriftSettings) -> DataFrame:
+def flag_rows(df: DataFrame, by: list[str], settings: DriftSettings) -> DataFrame:
+    """The rows of :func:`with_statistics` with significance and flags."""
     roles = df.withColumn("_prediction", F.col("feature") == PREDICTION)
     tested = with_significance(roles, "p_raw", [*by, "_prediction"], settings.alpha)
     shifted = tested.withColumn("null_shift", F.col("null_delta") >= settings.null_jump)

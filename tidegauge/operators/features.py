@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegauge.operators.running import with_running
+from tidegauge.session import stored
 from tidegauge.settings import FREQUENCY_COLUMNS
 
-CODE_GROUP_CHARS = 2
 MISSING_CODE = -1
 
 
@@ -56,31 +57,37 @@ def category_columns(df: DataFrame) -> list[str]:
 def fit_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Code dictionary: column, value, code (place among the column's sorted values, from 0).
 
-    One pass over the rows collects the distinct values of all columns. Codes
-    are numbered inside groups of values with the same first characters and
-    shifted by the sizes of the groups before, so no task holds a whole column.
+    One pass over the rows collects the distinct values of all columns. A code is a rank
+    over ranges of values, so no task holds a whole column, whatever its values begin with.
     """
     pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
     values = df.select(F.inline(F.array(*pairs))).where("value IS NOT NULL").distinct()
-    grouped = values.withColumn("_lead", F.substring("value", 1, CODE_GROUP_CHARS))
-    sizes = grouped.groupBy("column", "_lead").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy("column").orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("column", "_lead", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("column", "_lead").orderBy("value")) - 1
-    return grouped.join(starts, ["column", "_lead"]).select(
-        "column", "value", (F.col("_start") + place).cast("int").alias("code")
-    )
+    ranked = with_running(values.withColumn("_one", F.lit(1)), ["column"], ["value"], {"_place": "_one"})
+    return ranked.select("column", "value", F.col("_place").cast("int").alias("code"))
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace ``columns`` by their codes; missing values and values not in the dictionary get -1."""
+    found = _looked_up(df, codes, {c: c for c in columns}, "code")
+    return found.withColumns({c: F.coalesce(f"_found_{c}", F.lit(MISSING_CODE)).cast("int") for c in columns}).drop(
+        *[f"_found_{c}" for c in columns]
+    )
+
+
+def _looked_up(df: DataFrame, table: DataFrame, columns: Mapping[str, str], measure: str) -> DataFrame:
+    """``df`` with ``_found_<c>``: the ``measure`` that ``table`` (column, value) has for the value of each column.
+
+    ``columns`` maps columns of ``df`` to their names in the table. Every look-up joins the
+    same keys to the same table, so Spark shuffles or broadcasts the table once.
+    """
+    key = F.concat_ws(":", F.length("column").cast("string"), F.col("column"), F.col("value"))
+    entries = table.select(key.alias("_key"), F.col(measure).alias("_measure"))
     out = df
-    for c in columns:
-        entries = codes.where(F.col("column") == c).select(
-            F.col("value").alias("_value"), F.col("code").alias("_code")
-        )
-        joined = out.join(entries, out[c].cast("string") == entries["_value"], "left")
-        out = joined.withColumn(c, F.coalesce("_code", F.lit(MISSING_CODE)).cast("int")).drop("_value", "_code")
+    for c, name in columns.items():
+        prefix = F.lit(f"{len(name)}:{name}:")
+        # A missing value has no key.
+        joined = out.join(entries, F.concat(prefix, out[c].cast("string")) == entries["_key"], "left")
+        out = joined.withColumnRenamed("_measure", f"_found_{c}").drop("_key")
     return out
 
 
@@ -97,6 +104,17 @@ def fit_frequency(df: DataFrame, column: str) -> DataFrame:
     return counts.select(column, "n", (F.col("n") / total).alias("share"))
 
 
+def count_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """How often each value of each column occurs, in one pass: column, value (as text), n, share (of all rows).
+
+    Missing values are left out of the table but count as rows.
+    """
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
+    counted = df.select(F.inline(F.array(*pairs))).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return counted.where("value IS NOT NULL").withColumn("share", F.col("n") / total)
+
+
 def with_frequency(
     df: DataFrame,
     columns: Sequence[str],
@@ -106,25 +124,24 @@ def with_frequency(
     """Add ``{c}_freq``: the count (or share) of the row's value, 0 if it is missing.
 
     Counts come from ``fitted`` tables (:func:`fit_frequency`) or from ``df``
-    itself; columns ``df`` lacks are skipped. Values are counted before the join,
-    and a hot value's rows on the large side are left to adaptive skew handling.
+    itself; columns ``df`` lacks are skipped. For counts of its own ``df`` is written
+    once and read twice, to count all columns and to look the counts up. Values are
+    counted before the join, and a hot value's rows on the large side are left to
+    adaptive skew handling.
     """
+    fitted = fitted or {}
+    present = [c for c in columns if c in df.columns]
+    own, measure = [c for c in present if c not in fitted], "share" if normalised else "n"
     out = df
-    for c in columns:
-        if c not in df.columns:
-            continue
-        table = fitted[c] if fitted and c in fitted else _counted(df, c, normalised)
-        measure = F.col("share" if normalised else "n").cast("float").alias("_freq")
-        lookup = table.where(F.col(c).isNotNull()).select(F.col(c).alias("_value"), measure)
-        joined = out.join(lookup, out[c] == lookup["_value"], "left")
-        out = joined.withColumn(f"{c}_freq", F.coalesce("_freq", F.lit(0.0)).cast("float")).drop("_value", "_freq")
-    return out
-
-
-def _counted(df: DataFrame, column: str, normalised: bool) -> DataFrame:
-    if normalised:
-        return fit_frequency(df, column)
-    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    if own:
+        out = stored(df, "counted_rows")
+        out = _looked_up(out, count_values(out, own), {c: c for c in own}, measure)
+    for c in present:
+        if c in fitted:
+            lookup = fitted[c].where(F.col(c).isNotNull()).select(F.col(c).alias("_value"), F.col(measure).alias(f"_found_{c}"))
+            out = out.join(lookup, out[c] == lookup["_value"], "left").drop("_value")
+    made = {f"{c}_freq": F.coalesce(F.col(f"_found_{c}").cast("float"), F.lit(0.0).cast("float")) for c in present}
+    return out.withColumns(made).drop(*[f"_found_{c}" for c in present])
 
 
 def with_entity_key(df: DataFrame) -> DataFrame:
@@ -152,14 +169,20 @@ def prepare(
     """The model's feature matrix from raw transactions, plus ``keep`` columns unchanged.
 
     Codes and frequencies are fitted on ``df`` unless given. Codes come first, so
-    a missing text value counts as one more value (-1) of its column.
+    a missing text value counts as one more value (-1) of its column. Only what
+    ``columns`` asks for is made.
     """
     kept = df.select(*[F.col(c).alias(f"_keep_{c}") for c in keep], "*")
     dated = calendar_amount(kept)
-    categories = [c for c in category_columns(dated) if not c.startswith("_keep_")]
-    dictionary = fit_codes(dated, categories) if codes is None and categories else codes
-    coded = apply_codes(dated, dictionary, categories) if categories else dated
-    encoded = with_frequency(with_entity_key(coded), FREQUENCY_COLUMNS, frequencies)
+    counted = [c for c in FREQUENCY_COLUMNS if f"{c}_freq" in columns]
+    used = {*columns, *counted, *(("card1", "addr1") if "_uid" in counted else ())}
+    categories = [c for c in category_columns(dated) if c in used]
+    if categories:
+        dated = stored(dated, "dated_rows") if codes is None else dated
+        dated = apply_codes(dated, fit_codes(dated, categories) if codes is None else codes, categories)
+    needed = {*columns, *used, *[f"_keep_{c}" for c in keep]}
+    keyed = with_entity_key(dated) if "_uid" in counted else dated
+    encoded = with_frequency(keyed.select(*[c for c in keyed.columns if c in needed]), counted, frequencies)
     present = set(encoded.columns)
     return encoded.select(
         *[F.col(f"_keep_{c}").alias(c) for c in keep],

@@ -7,43 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.search import count_at_most
 from tidegauge.operators.ordering import RowOrder, Splits
+from tidegauge.operators.running import with_running
 from tidegauge.settings import ROLLING_ROWS
 
-SCORE_RANGES = 128
-
-
-def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), ranges: int = SCORE_RANGES) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Exact area under the ROC curve per group: by..., auc, n, label_rate.
 
-    Equal scores are counted together first, ties at half. Running counts then go
-    range by range, cut at approximate score quantiles so that no range is large;
-    the cuts only spread the work and do not touch the result. NULL where one
-    class is absent.
+    Equal scores are counted together first, ties at half; running counts then go by
+    ranges of scores. NULL where one class is absent.
     """
     by = list(by)
-    at = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     values = df.select(*by, F.col(score).cast("double").alias("_score"), F.col(label).cast("bigint").alias("_label"))
-    cuts = values.groupBy(*by).agg(
-        F.sort_array(F.array_distinct(F.percentile_approx("_score", at, F.lit(1000)))).alias("_cuts")
-    )
     counted = values.groupBy(*by, "_score").agg(
         F.sum("_label").alias("_pos"), F.sum(1 - F.col("_label")).alias("_neg")
     )
-    # One row of `ranges` numbers per group.
-    if by:
-        placed = counted.join(F.broadcast(cuts), by)
-    else:
-        placed = counted.withColumn("_cuts", cuts.scalar())
-    ranged = count_at_most(placed, "_cuts", "_score", ranges, "_range").drop("_cuts")
-    totals = ranged.groupBy(*by, "_range").agg(F.sum("_neg").alias("_range_neg"))
-    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*by, "_range", F.coalesce(F.sum("_range_neg").over(earlier), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(*by, "_range").orderBy("_score").rowsBetween(Window.unboundedPreceding, 0)
-    below = F.col("_start") + F.sum("_neg").over(within) - F.col("_neg")
-    # At most `ranges` rows per group.
-    stepped = ranged.join(F.broadcast(starts), [*by, "_range"]).withColumn("_below", below)
+    stepped = with_running(counted, by, ["_score"], {"_below": "_neg"})
     won = F.sum(F.col("_pos").cast("double") * (F.col("_below") + F.col("_neg") / 2))
     pos, neg = F.sum("_pos"), F.sum("_neg")
     return stepped.groupBy(*by).agg(
