@@ -353,6 +353,18 @@ select bk as scenario, len(reasons) > 0 as caught, n_flagged || '/' || n_feature
   top_feature, round(top_psi, 3) as top_psi, worst_null_feature
 from reasoned"""
 
+# The features of either side count their own rows only.
+PREPARED_APART = PREPARED.replace(
+    "(count(*) over (partition by t.card1))", "(count(*) over (partition by t.card1, t.side))"
+).replace("from tx t left join", "from sided t left join").replace(
+    "prepared as (",
+    """sided as (
+  select *, (row_number() over (order by "TransactionDT", "TransactionID") - 1 >= floor(count(*) over () * 0.4e0))::int as side
+  from tx),
+prepared as (""",
+)
+SCENARIOS_BY_BATCH = SCENARIOS.replace(PREPARED, PREPARED_APART)
+
 CALIBRATION = f"""{WINDOW_DRIFT}, {VERDICT},
 calibrated as (
   select bk as "window", round(share_flagged, 3) as share_flagged, n_null_shift,
@@ -370,16 +382,7 @@ degraded as (
     c.n_null_shift, c.max_null_delta, c.would_alert
   from calibrated c join window_auc w on w.part = c."window" join base_auc b on true)"""
 
-NULL_EXPERIMENT = f"""with {VECTORS},
-numbered as (
-  select *, trial, md5(concat_ws('|', '42:' || trial, vec_id)) as h
-  from vectors cross join (select unnest(range(0, 20)) as trial)),
-placed as (
-  select *, row_number() over (partition by trial order by h) - 1 as pos, count(*) over (partition by trial) as total
-  from numbered),
-base as (select trial as rk, h, {", ".join(EMBEDDING_FEATURES)}, pred from placed where pos < total // 2),
-live as (select trial as bk, trial as rk, {", ".join(EMBEDDING_FEATURES)}, pred from placed where pos >= total // 2),
-{drift(EMBEDDING_FEATURES)},
+NULL_OUTCOMES = """
 outcomes as (
   select bk, feature, correction, sig_none,
     case correction when 'none' then sig_none when 'bonferroni' then sig_bonferroni else sig_bh end as sig,
@@ -401,6 +404,27 @@ select correction, round(avg(n_flagged), 3) as mean_flagged, max(n_flagged) as m
   round(avg(alarm), 3) as batch_false_alarm_rate
 from alarms group by correction"""
 
+NULL_EXPERIMENT = f"""with {VECTORS},
+numbered as (
+  select *, trial, md5(concat_ws('|', '42:' || trial, vec_id)) as h
+  from vectors cross join (select unnest(range(0, 20)) as trial)),
+placed as (
+  select *, row_number() over (partition by trial order by h) - 1 as pos, count(*) over (partition by trial) as total
+  from numbered),
+base as (select trial as rk, h, {", ".join(EMBEDDING_FEATURES)}, pred from placed where pos < total // 2),
+live as (select trial as bk, trial as rk, {", ".join(EMBEDDING_FEATURES)}, pred from placed where pos >= total // 2),
+{drift(EMBEDDING_FEATURES)},
+{NULL_OUTCOMES}"""
+
+EXACT_NULL_EXPERIMENT = f"""with {VECTORS},
+halves as (
+  select *, trial, (strpos('0123456789abcdef', substr(h, trial // 4 + 1, 1)) - 1) >> (trial % 4)::int & 1 as first
+  from (select *, md5(concat_ws('|', 42, vec_id)) as h from vectors) cross join (select unnest(range(0, 20)) as trial)),
+base as (select trial as rk, h, {", ".join(EMBEDDING_FEATURES)}, pred from halves where first = 1),
+live as (select trial as bk, trial as rk, {", ".join(EMBEDDING_FEATURES)}, pred from halves where first = 0),
+{drift(EMBEDDING_FEATURES, cap=ALL_VALUES)},
+{NULL_OUTCOMES}"""
+
 LOG = """
 log as (
   select event_id, ts, value / 500 as pred, (props::json ->> '$.k')::double as k, event_type, value from events)"""
@@ -559,6 +583,7 @@ ALL: dict[str, str] = {
       from base_stats join ref_n using (rk, feature)""",
     "stored_profile_report": _of_features(LINE_DRIFT, REPORT),
     "null_experiment": NULL_EXPERIMENT,
+    "exact_null_experiment": EXACT_NULL_EXPERIMENT,
     "window_drift": _of_features(WINDOW_DRIFT, f'bk as "window", {REPORT}'),
     "exact_window_drift": _of_features(EXACT_WINDOW_DRIFT, f'bk as "window", {REPORT}'),
     "calibration_windows": f"{CALIBRATION} select * from calibrated",
@@ -581,6 +606,7 @@ ALL: dict[str, str] = {
       select "TransactionID", "TransactionDT" from placed
       where pos >= floor(n * 0.4e0) and pos < floor(n * 0.4e0) + 4000""",
     "scenario_backtest": SCENARIOS,
+    "scenario_backtest_by_batch": SCENARIOS_BY_BATCH,
     "rolling_prediction_mean": f"""with {LOG} select event_id, pred,
       round(avg(pred) over (order by ts, event_id rows between 49 preceding and current row), 6) as rolling_mean from log""",
     "log_counters": f"""with {LOG} select 'scorer-' || event_type as model_version, count(*) as requests_served,
@@ -592,6 +618,42 @@ ALL: dict[str, str] = {
       (p.card1 is not null)::tinyint as has_identity from tx t left join people p on t.card1 = p.card1""",
     "promotion_gate": f"""{MODELS} select model_version, round(val_auc, 6) as val_auc, n_train, val_auc_ok, n_features_ok,
       train_rows_ok, model_loads, val_auc_ok and n_features_ok and train_rows_ok and model_loads as deployable from gated""",
+    "promotion_gate_failures": f"""with {DRIFTING},
+      outcomes as (select *, (l_discount > 0.05e0)::int as outcome, floor(l_quantity / 8)::int as kind from drifting),
+      {auc("outcomes", "kind, l_returnflag", label="outcome")},
+      models as (
+        select kind || '-' || l_returnflag as model_version, kind * 100 as n_features,
+          case when kind <> 3 then case when l_returnflag = 'A' then auc else 1 - auc end end as val_auc,
+          case when l_returnflag = 'R' then 90 else n end as n_train, kind <> 2 as model_loads
+        from auc_rows),
+      gated as (
+        select model_version, val_auc, n_train, coalesce(val_auc, 0) >= 0.5e0 as val_auc_ok, n_features <= 500 as n_features_ok,
+          coalesce(n_train, 0) >= 100 as train_rows_ok, model_loads from models)
+      select model_version, round(val_auc, 6) as val_auc, n_train, val_auc_ok, n_features_ok, train_rows_ok, model_loads,
+        val_auc_ok and n_features_ok and train_rows_ok and model_loads as deployable from gated""",
+    "score_stored_bundle": f"""with {TX}, filled as (
+        select "TransactionID", "C1", case when "C13" < 8 then "C13" else 0 end as "C13" from tx),
+      scored as (select *, "C1" / ("C1" + "C13" + 1) as p from filled)
+      select "TransactionID", round(p, 6) as pred, case when p >= 0.5e0 then 'review' else 'approve' end as decision,
+        'shares-v1' as model_version from scored""",
+    "monitored_selection": f"""with {TX}, dated as (
+        select *, "TransactionDT" / 86400e0 as day_index, ("TransactionDT" / 3600e0) % 24e0 as hour,
+          round_even(("TransactionAmt" - floor("TransactionAmt")) * 100, 0)::float as amt_cents from tx),
+      wide as (select {", ".join(
+          f'round(stddev_pop("{c}"::double) / greatest(avg("{c}"), 1e0), 6) as "{c}"'
+          for c in ("TransactionAmt", "hour", "amt_cents", "C1", "C13", "card1", "addr1"))} from dated),
+      gains as (unpivot wide on * into name feature value gain),
+      placed as (select *, list_position(['TransactionAmt', 'hour', 'amt_cents', 'C1', 'C13', 'card1', 'addr1'], feature) as place from gains)
+      select feature, gain, rank::int as rank from (
+        select feature, gain, row_number() over (order by gain desc, place) as rank from placed) where rank <= 5""",
+    "report_cross_reference": f"""with first_model as ({CALIBRATION} select * from calibrated),
+      second_model as ({CALIBRATION.replace("windowed as (", """rescored as (
+        select * replace (coalesce(l_tax * 5 + l_discount, 0.5e0) as pred) from cutoff),
+windowed as (""").replace("from cutoff c),", "from rescored c),")} select * from calibrated)
+      select f."window", 'ratio-v1' as model_version, f.share_flagged, f.pred_psi, f.would_alert,
+        'rates-v2' as model_version_other, s.share_flagged as share_flagged_other, s.pred_psi as pred_psi_other,
+        s.would_alert as would_alert_other, f.would_alert is not distinct from s.would_alert as agreed
+      from first_model f full join second_model s on f."window" = s."window" """,
     "registry_records": f"""{MODELS}, decided as (
       select *, val_auc_ok and n_features_ok and train_rows_ok and model_loads as deployable from gated)
       select model_version, deployable, train_rows_ok, n_train::varchar as n_train_rows,
@@ -603,6 +665,16 @@ ALL: dict[str, str] = {
       {drift(["k"])}, {VERDICT}
       select bk as day, n_rows, n_flagged, round(top_psi, 6) as top_psi, round(pred_psi, 6) as pred_psi,
         len(reasons) > 0 as drifted from reasoned""",
+    "stream_replay_drift": f"""with {LOG_BATCHES}, live as (select date_trunc('week', ts)::date as bk, 0 as rk, k, pred from placed),
+      {drift(["k"])}, {VERDICT}
+      select bk as week, n_rows, n_flagged, round(top_psi, 6) as top_psi, round(pred_psi, 6) as pred_psi,
+        len(reasons) > 0 as drifted from reasoned""",
+    "stream_closed_windows": f"""with {LOG_BATCHES}, live as (
+        select ts::date as bk, 0 as rk, k, pred from placed
+        where ts::date + interval 1 day <= (select max(ts) - interval 1 hour from log)),
+      {drift(["k"])}, {VERDICT}
+      select bk as day, n_rows, n_flagged, round(top_psi, 6) as top_psi, round(pred_psi, 6) as pred_psi,
+        len(reasons) > 0 as drifted from reasoned""",
     "stream_score_log": f"""with {LOG}, requests as (select event_id, k, value * 250 - 1000 as amt from log)
       select event_id, 'scorer-v1' as model_version, k, round(amt / (amt + 100000e0), 6) as pred,
         case when amt / (amt + 100000e0) >= 0.5e0 then 'review' else 'approve' end as decision, '' as violations

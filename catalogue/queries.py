@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -272,6 +274,12 @@ def null_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.null_summary(runs)
 
 
+def exact_null_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values, halves by the bits of one digest a row."""
+    runs = validation.exact_null_experiment(inputs.vectors(spark, sf_dir), EMBEDDING_FEATURES, "pred", ["vec_id"])
+    return validation.null_summary(runs)
+
+
 def windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Profile]:
     rows = inputs.drifting_lines(spark, sf_dir)
     base, later = validation.split_windows(rows, line_order())
@@ -356,6 +364,21 @@ def scenario_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.scenario_backtest(live, profile, default_scenarios("h"), with_stand_in)
 
 
+def scenario_backtest_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backtest with features of the baseline and of the live rows made apart: no count looks ahead."""
+    tx = inputs.transactions(spark, sf_dir)
+    splits = Splits.find(tx, transaction_order(), baseline_cut(BASELINE_FRACTION))
+    people = inputs.identity(spark, sf_dir)
+
+    def made(rows: DataFrame) -> DataFrame:
+        found = feat.prepare(feat.attach_identity(rows, people, "card1"), TRANSACTION_FEATURES, keep=["TransactionID"])
+        return found.withColumn("h", row_hash(SEED, "TransactionID"))
+
+    base, live = made(tx.where(splits.before(0))), made(tx.where(splits.from_(0)))
+    profile = build_profile(with_stand_in(base), TRANSACTION_FEATURES, "pred", "h").checkpoint()
+    return validation.scenario_backtest(live, profile, default_scenarios("h"), with_stand_in)
+
+
 # --- logs, reports, models ------------------------------------------------
 
 
@@ -375,8 +398,9 @@ def prediction_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = inputs.log(spark, sf_dir).select(
         F.unix_micros("ts").cast("double").alias("us"), "pred", F.lit(MODEL_VERSION).alias("model_version"), "k"
     )
-    records = tables.log_columns(scored.withColumn("ts", F.col("us") / 1e6), ["k", "not_logged"])
-    records.write.mode("append").json(path)
+    records, monitored = scored.withColumn("ts", F.col("us") / 1e6), Profile(("k", "not_logged"), scored, scored)
+    tables.append_log(records, None, path)
+    tables.append_log(records, monitored, path)
     read = tables.read_log(spark, path, ["k"])
     return read.groupBy(F.to_date("ts").alias("day"), "model_version").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("pred"), 6).alias("mean_pred"), F.round(F.avg("k"), 6).alias("mean_k")
@@ -438,6 +462,64 @@ def registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.join(stored, "model_version")
 
 
+def promotion_gate_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of which every check turns some down: few rows, many columns, a low AUC or one missing, not loading."""
+    rows = inputs.drifting_lines(spark, sf_dir).withColumns(
+        {"outcome": (F.col("l_discount") > 0.05).cast("int"), "kind": F.floor(F.col("l_quantity") / 8).cast("int")}
+    )
+    measured = roc_auc(rows, "pred", "outcome", ["kind", "l_returnflag"])
+    models = measured.select(
+        F.concat_ws("-", "kind", "l_returnflag").alias("model_version"),
+        F.array_repeat(F.lit("c"), F.col("kind") * 100).alias("columns"),
+        F.when(F.col("kind") != 3, F.when(F.col("l_returnflag") == "A", F.col("auc")).otherwise(1 - F.col("auc"))).alias("val_auc"),
+        F.when(F.col("l_returnflag") == "R", F.lit(90).cast("bigint")).otherwise(F.col("n")).alias("n_train"),
+        (F.col("kind") != 2).alias("can_score"),
+    )
+    return rounded(evaluate_gates(models, CANDIDATE_GATES).drop("columns", "can_score"), val_auc=6)
+
+
+def score_stored_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders scored with a pipeline that was stored as a bundle and loaded again."""
+    path = scratch_path(spark, "scorer")
+    share = SQLTransformer(statement="SELECT *, C1 / (C1 + C13 + 1) AS _p FROM __THIS__")
+    pair = SQLTransformer(statement="SELECT *, 1 - _p AS _q FROM __THIS__")
+    vector = VectorAssembler(inputCols=["_q", "_p"], outputCol="probability")
+    bundle = ModelBundle(PipelineModel([share, pair, vector]), "shares-v1", ("C1", "C13"), {"C1": 3.0, "C13": 0.0}, 0.9, 1000)
+    save_bundle(bundle, spark, path)
+    loaded = load_bundle(spark, path)
+    rows = inputs.transactions(spark, sf_dir).withColumn("C13", F.when(F.col("C13") < 8, F.col("C13")))
+    filled = rows.na.fill(dict(loaded.defaults), list(loaded.columns))
+    scored = score(filled.select("TransactionID", *loaded.columns), loaded.model)
+    return with_decision(scored, "pred", model_version=loaded.model_version).select(
+        "TransactionID", F.round("pred", 6).alias("pred"), "decision", "model_version"
+    )
+
+
+def monitored_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features with most spread in the prepared rows, calendar features left out."""
+    rows = inputs.transactions(spark, sf_dir)
+    dated = feat.calendar_amount(rows)
+    names = ["TransactionDT", "TransactionAmt", "day_index", "hour", "amt_cents", "C1", "C13", "D1", "card1", "addr1"]
+    spread = dated.agg(*[F.round(F.stddev_pop(F.col(c).cast("double")) / F.greatest(F.avg(c), F.lit(1.0)), 6).alias(c) for c in names])
+    gains = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("gain"), F.lit(i).alias("position")) for i, c in enumerate(names)]
+    return monitored_features(spread.select(F.inline(F.array(*gains))), n=5)
+
+
+def report_cross_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models' verdicts on the same windows, side by side under their names."""
+    rows = inputs.drifting_lines(spark, sf_dir)
+    second = (F.col("l_tax") * 5 + F.col("l_discount")).alias("pred")
+    models = {"ratio-v1": rows, "rates-v2": rows.select(*[c for c in rows.columns if c != "pred"], F.coalesce(second, F.lit(0.5)).alias("pred"))}
+    reports = []
+    for name, scored in models.items():
+        base, later = validation.split_windows(scored, line_order())
+        verdicts = validation.window_verdicts(later, line_profile(base), "pred")
+        path = scratch_path(spark, "model_report")
+        tables.write_report(validation.calibration(verdicts).withColumn("model_version", F.lit(name)), path, "parquet")
+        reports.append(tables.read_report(spark, path, format_="parquet"))
+    return validation.cross_reference(*reports)
+
+
 PROBE_TREES, PROBE_DEPTH = 5, 4
 
 
@@ -532,6 +614,41 @@ def stream_batch_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stored.select("batch_id", "n_rows", "n_flagged", "top_feature", "top_psi", "pred_psi", "drifted"), top_psi=6, pred_psi=6)
 
 
+def stream_replay_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that grows by a file a week, read in micro-batches of one file, with a stop in between."""
+    path = scratch_path(spark, "replay")
+    log = inputs.log(spark, sf_dir).withColumn("week", F.to_date(F.date_trunc("week", "ts")))
+    profile = log_profile(spark, sf_dir)
+    weeks = [r.week for r in log.select("week").distinct().orderBy("week").collect()]
+
+    def run() -> None:
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
+        finish(monitor.drift_stream(stream, profile, f"{path}/rows", f"{path}/state", time="ts"))
+
+    for part in (weeks[:2], weeks[2:]):
+        arrived = log.where(F.col("week").isin(part))
+        arrived.repartition("week").write.mode("append").partitionBy("week").parquet(f"{path}/log")
+        run()
+    stored = spark.read.parquet(f"{path}/rows")
+    named = stored.select(F.to_date(F.date_trunc("week", "first_time")).alias("week"), "n_rows", "n_flagged", "top_psi", "pred_psi", "drifted")
+    return rounded(named, top_psi=6, pred_psi=6)
+
+
+def stream_closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily verdicts of the days that the watermark has closed."""
+    path = scratch_path(spark, "closed")
+    profile = log_profile(spark, sf_dir)
+    cells = monitor.windowed_cells(event_stream(spark, sf_dir), profile, "ts", "1 day", "1 hour", "pred")
+    with monitor.rocksdb_state(spark):
+        finish(monitor.closed_sink(cells, f"{path}/rows", f"{path}/state"))
+    judged = monitor.windowed_verdicts(spark.read.parquet(f"{path}/rows").drop(monitor.BATCH), profile)
+    return rounded(
+        judged.select(F.to_date("window_start").alias("day"), "n_rows", "n_flagged", "top_psi", "pred_psi", "drifted"),
+        top_psi=6,
+        pred_psi=6,
+    )
+
+
 def stream_score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "score_log")
     stream = event_stream(spark, sf_dir).select(
@@ -595,6 +712,7 @@ ALL: dict[str, Query] = {
     "profile_summary": profile_summary,
     "stored_profile_report": stored_profile_report,
     "null_experiment": null_experiment,
+    "exact_null_experiment": exact_null_experiment,
     "window_drift": window_drift,
     "exact_window_drift": exact_window_drift,
     "calibration_windows": calibration_windows,
@@ -607,6 +725,7 @@ ALL: dict[str, Query] = {
     "whatif_feed_null": whatif_feed_null,
     "live_batch": live_batch,
     "scenario_backtest": scenario_backtest,
+    "scenario_backtest_by_batch": scenario_backtest_by_batch,
     "rolling_prediction_mean": rolling_prediction_mean,
     "log_counters": log_counters,
     "prediction_log_roundtrip": prediction_log_roundtrip,
@@ -614,9 +733,15 @@ ALL: dict[str, Query] = {
     "csv_transactions": csv_transactions,
     "promotion_gate": promotion_gate,
     "registry_records": registry_records,
+    "promotion_gate_failures": promotion_gate_failures,
+    "score_stored_bundle": score_stored_bundle,
+    "monitored_selection": monitored_selection,
+    "report_cross_reference": report_cross_reference,
     "stream_daily_monitor": stream_daily_monitor,
     "stream_window_drift": stream_window_drift,
     "stream_batch_drift": stream_batch_drift,
+    "stream_replay_drift": stream_replay_drift,
+    "stream_closed_windows": stream_closed_windows,
     "stream_score_log": stream_score_log,
     "probe_fit_importance": probe_fit_importance,
     "probe_degradation": probe_degradation,

@@ -101,3 +101,73 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     monitor.write_batch(spark.range(4), 0, path)
     counts = spark.read.parquet(path).groupBy("batch_id").count().collect()
     assert {r.batch_id: r["count"] for r in counts} == {0: 4, 1: 5}
+
+
+def test_a_stopped_stream_goes_on_where_it_was(spark, log, profile, tmp_path):
+    """Three micro-batches; the last one loses its commit and runs again after a restart, and counts once."""
+    paths = str(tmp_path / "rows"), str(tmp_path / "state")
+
+    def start():
+        return finish(monitor.drift_stream(stream(spark, log), profile, *paths, time="ts"))
+
+    assert len(start().recentProgress) >= 3
+    first = {r.batch_id: r for r in spark.read.parquet(paths[0]).collect()}
+    assert sorted(first) == [0, 1, 2] and all(r.first_time <= r.last_time for r in first.values())
+    commit = tmp_path / "state" / "commits" / "2"
+    for left in (commit, commit.with_name(".2.crc")):
+        left.unlink(missing_ok=True)
+    assert [p["batchId"] for p in start().recentProgress][:1] == [2]
+    again = {r.batch_id: r for r in spark.read.parquet(paths[0]).collect()}
+    assert {k: (r.n_rows, r.pred_psi, r.first_time) for k, r in again.items()} == {k: (r.n_rows, r.pred_psi, r.first_time) for k, r in first.items()}
+    start()
+    assert spark.read.parquet(paths[0]).count() == 3
+
+
+@pytest.fixture()
+def ordered_log(spark, tmp_path):
+    """Four files in order of time, the last with some rows of the first day that come too late."""
+    rng = np.random.default_rng(4)
+    path = str(tmp_path / "ordered")
+    for day in range(4):
+        n = 200
+        ts = pd.Timestamp("2024-01-01") + pd.to_timedelta(day * 86400 + np.sort(rng.integers(0, 86400, n)), unit="s")
+        data = pd.DataFrame({"ts": ts, "k": rng.normal(size=n), "pred": rng.random(n)})
+        if day == 3:
+            late = pd.DataFrame({"ts": pd.to_datetime(["2024-01-01 05:00:00"] * 7), "k": 0.0, "pred": 0.5})
+            data = pd.concat([data, late])
+        spark.createDataFrame(data).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def test_closed_windows_are_written_once(spark, ordered_log, profile, tmp_path):
+    schema = spark.read.parquet(ordered_log).schema
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(ordered_log)
+    cells = monitor.windowed_cells(rows, profile, "ts", "1 day", "1 hour", "pred")
+    sink = str(tmp_path / "rows")
+    with monitor.rocksdb_state(spark):
+        query = finish(monitor.closed_sink(cells, sink, str(tmp_path / "state")))
+    assert spark.conf.get(monitor.STATE_STORE) != monitor.ROCKSDB
+    stored = spark.read.parquet(sink)
+    keys = ["window_start", "slot", "cell"]
+    assert stored.count() == stored.select(keys).distinct().count()
+    # Days one to three are closed; the late rows of day one are counted apart and change nothing.
+    per_day = {r.window_start.day: r.n for r in stored.where("slot = 1").groupBy("window_start").agg(F.sum("n").alias("n")).collect()}
+    assert per_day == {1: 200, 2: 200, 3: 200} and monitor.late_rows(query) > 0
+    found = monitor.windowed_verdicts(stored.drop(monitor.BATCH), profile)
+    batch = spark.read.parquet(ordered_log).withColumn("window_start", F.date_trunc("day", "ts"))
+    batch = batch.where("window_start < '2024-01-04' AND NOT (k = 0 AND pred = 0.5)")
+    expected = verdict(compare(batch, profile, "pred", ["window_start"]), ["window_start"])
+    columns = ["window_start", "n_rows", "n_flagged", "top_psi", "pred_psi", "drifted"]
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, expected.select(columns).collect()))
+
+
+def test_compaction_keeps_the_newest_rows(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    for batch, rows in enumerate([[("a", 1), ("b", 1)], [("a", 2)], [("b", 3), ("c", 3)], [("a", 4)]]):
+        monitor.write_batch(spark.createDataFrame(rows, "key string, n int"), batch, path)
+    read = lambda: spark.read.parquet(path)
+    before = sorted(map(tuple, monitor.latest(read(), ["key"]).collect()))
+    for _ in range(2):  # once more changes nothing
+        monitor.compact(spark, path, ["key"], through=2)
+        assert sorted(map(tuple, monitor.latest(read(), ["key"]).collect())) == before == [("a", 4), ("b", 3), ("c", 3)]
+        assert {r.batch_id: r["count"] for r in read().groupBy("batch_id").count().collect()} == {2: 3, 3: 1}

@@ -98,3 +98,51 @@ def test_more_features_than_one_block(spark, rows, monkeypatch):
     whole = compare(shifted, profile, "pred").orderBy("slot").select("slot", "ks_stat", "psi", "n_cur").collect()
     monkeypatch.setattr(comparing, "BROADCAST_AT_MOST", 3 * 8 * profile.capacity)
     assert compare(shifted, profile, "pred").orderBy("slot").select("slot", "ks_stat", "psi", "n_cur").collect() == whole
+
+
+def test_exact_null_experiment_statistics(spark, rows):
+    """Sums over values and edges give what comparing the halves of each trial gives."""
+    from tidegauge.operators.exact import exact_compare
+
+    trials, key = 3, ["id"]
+    found = {(r.trial, r.correction): r for r in validation.exact_null_experiment(rows, FEATURES, "pred", key, trials=trials).collect()}
+    assert len(found) == 9
+    bits = rows.withColumn("_first", validation.half_bits(row_hash(42, *key), trials))
+    for t in range(trials):
+        first, second = (bits.where(F.col("_first")[t] == side) for side in (1, 0))
+        assert abs(first.count() - 1500) < 150
+        judged = exact_compare(first, second, FEATURES, "pred")
+        features = judged.where("feature <> '__pred__'")
+        for c in ("none", "bonferroni", "bh"):
+            r = found[t, c]
+            assert r.n_monitored == 7 and r.ks_only_flagged == features.where("sig_none").count()
+            assert r.sig_corrected == features.where(f"sig_{c}").count()
+            assert r.n_flagged == features.where(f"(sig_{c} AND psi >= 0.1) OR null_shift").count()
+
+
+def test_exact_null_experiment_sees_unequal_halves(spark):
+    """A feature that is the half itself is flagged in its trial: KS 1 and a large PSI, with many ties."""
+    rows = spark.range(400).select("id", F.lit(0.5).alias("pred"), (F.col("id") % 5).cast("double").alias("tied"))
+    bit = validation.half_bits(row_hash(42, "id"), 2)
+    rows = rows.withColumn("leak", bit[1] * 100 + F.col("id") / 400)
+    found = {(r.trial, r.correction): r for r in validation.exact_null_experiment(rows, ["tied", "leak"], "pred", ["id"], trials=2).collect()}
+    assert found[1, "bh"].n_flagged == 1 and found[1, "bh"].batch_drifted and found[0, "bh"].n_flagged == 0
+
+
+def test_scenarios_read_the_rows_once(spark, rows):
+    stacked = validation.rewritten(rows.drop("pred"), ["TransactionAmt", "id_01", "C1"], default_scenarios("h"), score)
+    plan = stacked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Union" not in plan
+    together = {r.scenario: r for r in stacked.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.avg("TransactionAmt").alias("a"), F.count("id_01").alias("k"), F.avg("C1").alias("c")).collect()}
+    for name, rewrite in default_scenarios("h").items():
+        apart = score(rewrite(rows.drop("pred"))).agg(F.count(F.lit(1)), F.avg("TransactionAmt"), F.count("id_01"), F.avg("C1")).first()
+        assert tuple(together[name])[1:] == pytest.approx(tuple(apart))
+
+
+def test_reports_of_two_models(spark):
+    schema = "window int, share_flagged double, pred_psi double, would_alert boolean, model_version string"
+    one = spark.createDataFrame([(1, 0.0, 0.1, False, "a"), (2, 0.5, 0.3, True, "a")], schema)
+    other = spark.createDataFrame([(2, 0.1, 0.2, False, "b"), (3, 0.0, 0.0, False, "b")], schema)
+    made = {r.window: r for r in validation.cross_reference(one, other).collect()}
+    assert (made[2].model_version, made[2].model_version_other, made[2].agreed) == ("a", "b", False)
+    assert made[1].model_version_other is None and made[3].model_version is None and not made[3].agreed

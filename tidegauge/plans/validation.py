@@ -8,20 +8,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.functions.missing import finite_sql
 from tidegauge.operators.compare import (
     BROADCAST_AT_MOST,
     CUT_BYTES,
     compare,
+    flag_rows,
     flagged_under,
     missing_columns,
     verdict,
+    with_statistics,
 )
+from tidegauge.operators.exact import inner_edges
 from tidegauge.operators.ordering import RowOrder, Splits, baseline_windows
 from tidegauge.operators.profile import PREDICTION, Profile, build_profile
 from tidegauge.operators.ranking import roc_auc
-from tidegauge.operators.sampling import random_halves
+from tidegauge.operators.running import with_running
+from tidegauge.operators.sampling import random_halves, row_hash
 from tidegauge.operators.whatif import Scenario
-from tidegauge.session import working_folder
+from tidegauge.session import stored
 from tidegauge.settings import (
     BASELINE_FRACTION,
     CORRECTIONS,
@@ -73,7 +78,11 @@ def _null_block(
     profile = build_profile(
         halves.where("first_half"), monitored, prediction, "row_hash", by=by, cap=cap, bins=settings.psi_bins
     ).checkpoint()
-    rows = compare(halves.where("NOT first_half"), profile, prediction, by, settings)
+    return _outcomes(compare(halves.where("NOT first_half"), profile, prediction, by, settings), settings)
+
+
+def _outcomes(rows: DataFrame, settings: DriftSettings) -> DataFrame:
+    """One row per trial and correction from the feature rows of all trials."""
     outcomes = [
         F.struct(
             F.lit(c).alias("correction"),
@@ -101,6 +110,120 @@ def _null_block(
     return counted.withColumn("batch_drifted", drifted).drop("_null", "_psi")
 
 
+def exact_null_experiment(
+    df: DataFrame,
+    monitored: Sequence[str],
+    prediction: str,
+    row_key: Sequence[str | Column],
+    trials: int = N_TRIALS,
+    seed: int = SEED,
+    settings: DriftSettings = DriftSettings(),
+) -> DataFrame:
+    """The null experiment on all values, without a copy of the rows for each trial.
+
+    A bit of the row's digest says which half of a trial it is in, so halves are random and
+    of about equal size. Every value is counted once, with a count for each trial, and
+    one ordered pass over the values serves all trials. The columns are those of
+    :func:`null_experiment`.
+    """
+    if trials > DIGEST_BITS:
+        raise ValueError(f"a digest has bits for {DIGEST_BITS} trials")
+    names, bins = [*monitored, PREDICTION], settings.psi_bins
+    halves = df.withColumn("_first", half_bits(row_hash(seed, *row_key), trials))
+    pairs = [f"struct({i} AS slot, {finite_sql(c)} AS value)" for i, c in enumerate([*monitored, prediction])]
+    tall = halves.select("_first", F.expr(f"inline(array({', '.join(pairs)}))"))
+    firsts = [f"f{t}" for t in range(trials)]
+    counted = stored(
+        tall.groupBy("slot", "value").agg(
+            F.count(F.lit(1)).alias("n"), *[F.sum(F.get("_first", F.lit(t))).alias(f) for t, f in enumerate(firsts)]
+        ),
+        "trial_counts",
+    )
+    values = counted.where("value IS NOT NULL")
+    sums = {f"b_{c}": c for c in ["n", *firsts]}
+    stepped = stored(with_running(values, ["slot"], ["value"], sums, {f"t_{c}": c for c in ["n", *firsts]}), "trial_ranks")
+    one = [
+        F.struct(
+            F.lit(t).alias("trial"), F.col(f).alias("r"), F.col(f"b_{f}").alias("before"), F.col(f"t_{f}").alias("n_ref")
+        )
+        for t, f in enumerate(firsts)
+    ]
+    edges = inner_edges(stepped.select("slot", "value", F.inline(F.array(*one))), bins, ["slot", "trial"])
+    edges = stored(edges.select("slot", "trial", F.explode_outer("edges").alias("value")), "trial_edges")
+    # The edges among the values: what lies below each of them.
+    marks = edges.where("value IS NOT NULL").select("slot", "value").distinct()
+    marked = values.unionByName(marks.withColumns({c: F.lit(0).cast("bigint") for c in ["n", *firsts]}))
+    marked = marked.groupBy("slot", "value").agg(*[F.sum(c).alias(c) for c in ["n", *firsts]])
+    below = with_running(marked, ["slot"], ["value"], sums).join(marks, ["slot", "value"], "left_semi")
+    below = below.select("slot", "value", "b_n", F.array(*[f"b_{f}" for f in firsts]).alias("b"))
+    # At most bins - 1 edges for each feature and trial.
+    first = F.get("b", F.col("trial"))
+    cumulated = (
+        edges.join(below, ["slot", "value"], "left")
+        .groupBy("slot", "trial")
+        .agg(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value", first.alias("ref"), (F.col("b_n") - first).alias("cur"))))).alias("at"))
+    )
+    rows = _trial_statistics(counted, stepped, trials).join(cumulated, ["slot", "trial"], "left")
+    rows = rows.withColumn("feature", F.element_at(F.lit(names), F.col("slot") + 1))
+    ref, cur = (_bin_counts(F.coalesce(F.col(f"at.{side}"), F.array().cast("array<bigint>")), total, bins) for side, total in (("ref", F.col("n_ref")), ("cur", F.col("n_cur"))))
+    rows = rows.withColumns({"ref_bins": F.array(*ref)} | {f"_bin{b}": c for b, c in enumerate(cur)})
+    judged = flag_rows(with_statistics(rows, bins, settings), ["trial"], settings)
+    return _outcomes(judged, settings)
+
+
+DIGEST_BITS = 128
+
+
+def half_bits(hash_: Column, trials: int) -> Column:
+    """An array with a bit of the hex digest for each trial: 1 for its first half."""
+    digits = [F.instr(F.lit("0123456789abcdef"), F.substring(hash_, t // 4 + 1, 1)) - 1 for t in range(trials)]
+    return F.array(*[F.shiftright(d, t % 4).bitwiseAND(F.lit(1)).cast("bigint") for t, d in enumerate(digits)])
+
+
+def _trial_statistics(counted: DataFrame, stepped: DataFrame, trials: int) -> DataFrame:
+    """slot, trial, n_rows, n_ref, n_cur, _gap, _base_null, mean, sample_mean: one row each, from sums over values."""
+    finite = F.col("value").isNotNull()
+
+    def of(t: int) -> list[Column]:
+        f, second = F.col(f"f{t}"), F.col("n") - F.col(f"f{t}")
+        return [
+            F.sum(F.when(finite, f).otherwise(0)).alias(f"ref{t}"),
+            F.sum(F.when(finite, second).otherwise(0)).alias(f"cur{t}"),
+            F.sum(f).alias(f"all{t}"),
+            F.sum(second).alias(f"rows{t}"),
+            F.sum(F.col("value") * f).alias(f"x{t}"),
+            F.sum(F.col("value") * second).alias(f"y{t}"),
+        ]
+
+    def gap(t: int) -> Column:
+        first, total = F.col(f"b_f{t}") + F.col(f"f{t}"), F.col(f"t_f{t}")
+        second = F.col("b_n") + F.col("n") - first
+        return F.max(F.abs(F.try_divide(first, total) - F.try_divide(second, F.col("t_n") - total))).alias(f"gap{t}")
+
+    sums = counted.groupBy("slot").agg(*[c for t in range(trials) for c in of(t)])
+    gaps = stepped.groupBy("slot").agg(*[gap(t) for t in range(trials)])
+    one = [
+        F.struct(
+            F.lit(t).alias("trial"),
+            F.col(f"rows{t}").alias("n_rows"),
+            F.col(f"ref{t}").alias("n_ref"),
+            F.col(f"cur{t}").alias("n_cur"),
+            F.col(f"gap{t}").alias("_gap"),
+            (1 - F.try_divide(F.col(f"ref{t}"), F.col(f"all{t}"))).alias("_base_null"),
+            F.try_divide(F.col(f"y{t}"), F.col(f"cur{t}")).alias("mean"),
+            F.try_divide(F.col(f"x{t}"), F.col(f"ref{t}")).alias("sample_mean"),
+        )
+        for t in range(trials)
+    ]
+    return sums.join(gaps, "slot", "left").select("slot", F.inline(F.array(*one)))
+
+
+def _bin_counts(below: Column, total: Column, bins: int) -> list[Column]:
+    """Rows per bin from the rows below each inner edge, ascending; bins past the last edge are empty."""
+    at = [F.lit(0), *[F.coalesce(F.get(below, F.lit(i)), total) for i in range(bins - 1)], total]
+    return [at[b + 1] - at[b] for b in range(bins)]
+
+
 def null_summary(experiment: DataFrame) -> DataFrame:
     """Per correction: mean and largest number flagged, significant before and after
     correction, and the share of trials whose batch alarms."""
@@ -156,6 +279,19 @@ def calibration_summary(calibrated: DataFrame, settings: DriftSettings = DriftSe
     )
 
 
+def cross_reference(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two models' :func:`calibration` reports with their ``model_version``, joined by window.
+
+    One row per window that either report has: both models' names and measures (the
+    second's with ``_other``), and whether they agree on an alarm.
+    """
+    named = second.toDF(*[c if c == "window" else f"{c}_other" for c in second.columns])
+    joined = first.join(named, "window", "full")
+    agreed = F.col("would_alert").eqNullSafe(F.col("would_alert_other"))
+    measures = ["model_version", "share_flagged", "pred_psi", "would_alert"]
+    return joined.select("window", *measures, *[f"{c}_other" for c in measures], agreed.alias("agreed"))
+
+
 def degradation(
     later: DataFrame,
     verdicts: DataFrame,
@@ -196,6 +332,23 @@ def drift_correlations(report: DataFrame) -> DataFrame:
     )
 
 
+def rewritten(
+    rows: DataFrame, wanted: Sequence[str], scenarios: Mapping[str, Scenario], scorer: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """scenario, the ``wanted`` columns and pred: every row once per scenario, from one read of ``rows``."""
+    given, packs = F.struct(*rows.columns), []
+    out = rows.select(given.alias("_given"))
+    for i, rewrite in enumerate(scenarios.values()):
+        # Each scenario starts from the row as it was given.
+        fresh = out.select(*[F.col(f"_given.{c}").alias(c) for c in rows.columns], "_given", *packs)
+        made = scorer(rewrite(fresh))
+        picked = [F.col(c).cast(rows.schema[c].dataType).alias(c) for c in wanted]
+        out = made.select("_given", *packs, F.struct(*picked, F.col("pred").cast("double").alias("pred")).alias(f"_rewrite{i}"))
+        packs.append(f"_rewrite{i}")
+    each = [F.struct(F.lit(name).alias("scenario"), F.col(p).alias("row")) for name, p in zip(scenarios, packs)]
+    return out.select(F.inline(F.array(*each))).select("scenario", "row.*")
+
+
 def scenario_backtest(
     live: DataFrame,
     profile: Profile,
@@ -205,19 +358,12 @@ def scenario_backtest(
 ) -> DataFrame:
     """One row per what-if rewrite of ``live``: was it caught, and by what.
 
-    ``scorer`` adds the column ``pred``. The rewrites are stacked and compared in
-    one job; ``live`` is written out first so that its features are made once.
+    ``scorer`` adds the column ``pred``; like the rewrites it works on each row by itself.
+    ``live`` is written once and read once: every row becomes an array with its rewrites,
+    which are compared side by side in one job.
     """
-    working_folder(live.sparkSession)
-    fixed = live.checkpoint()
     wanted = [c for c in profile.monitored if c in live.columns]
-    stacked = reduce(
-        DataFrame.unionByName,
-        [
-            scorer(rewrite(fixed)).select(F.lit(name).alias("scenario"), *wanted, "pred")
-            for name, rewrite in scenarios.items()
-        ],
-    )
+    stacked = rewritten(stored(live, "live_rows"), wanted, scenarios, scorer)
     rows = compare(stacked, profile, "pred", ["scenario"], settings)
     report = verdict(rows, ["scenario"], settings, missing_columns(live, profile))
     return report.select(
