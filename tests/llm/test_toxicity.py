@@ -17,6 +17,9 @@ SF_DIR = "/root/testdata/sf0.01"
         ("mоrоn", " moron "),  # Cyrillic
         ("ｃｌｏｗｎ", " clown "),  # full width
         ("lo​ser", " loser "),
+        ("𝐈𝐃𝐈𝐎𝐓 𝕄𝕠𝕣𝕠𝕟", " idiot moron "),
+        ("a$$ kil1 idi0t! wow!", " ass kill idiot wow "),
+        ("İDİOT K9 2x4", " idiot k xa "),
         ("réêou 2024 $$$ the###", " reeou the "),
         ("", "  "),
     ],
@@ -51,6 +54,30 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted for r in held if not r.toxic) <= 0.03 * len(held)
 
 
+def test_recall_of_toxic_documents(spark):
+    """At sf0.1, where there are labels enough: toxic documents are found, held out or not, and others are left alone."""
+    rows = queries.op3_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()
+    for held_out in (True, False):
+        toxic = [r.predicted for r in rows if r.held_out == held_out and r.toxic]
+        clean = [r.predicted for r in rows if r.held_out == held_out and not r.toxic]
+        assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_score_against_its_definition(spark):
+    """Entries found by looking every word up, without an automaton."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    lexicon = learn(docs, spark.read.parquet(f"{SF_DIR}/labels.parquet"))
+    for r in score(docs, lexicon).collect():
+        words, weight, hits = fold_text(r.text).split(), 0.0, 0
+        for i, word in enumerate(words):
+            forms = [f" {word} ", *[f" {word[:n]}" for n in range(4, min(8, len(word)) + 1)]]
+            best = max(lexicon.weights.get(f, 0.0) for f in forms)
+            pairs = [f" {' '.join(words[j : j + 2])} " for j in (i - 1, i) if j >= 0 and j + 2 <= len(words)]
+            if best > 0 and not any(p in lexicon.exceptions for p in pairs):
+                weight, hits = weight + best, hits + 1
+        assert r.hits == hits and r.weight == pytest.approx(weight)
+
+
 def test_odd_rows(odd_documents, no_documents, no_labels):
     empty = learn(odd_documents, no_labels)
     assert empty.weights == {}

@@ -37,6 +37,10 @@ LOOK_ALIKES = str.maketrans(
 )
 STAND_INS = str.maketrans("0134578@$!|", "oieastbasil")
 INSIDE_WORD = re.compile(r"(?:(?<=[a-z])|(?<![\w@$!|]))[0134578@$!|]+(?=[a-z])")
+# A one stands for i, but after an l at a word's end for another l.
+AFTER_L = re.compile(r"(?<=[a-z]l)1(?![\w@$])")
+# "!" and "|" at a word's end are taken for what they are.
+WORD_END = re.compile(r"(?<=[a-z])[0134578@$]+(?![\w@$])")
 MARKS = re.compile("[̀-ͯ]+")
 NO_LETTERS = re.compile(r"[\W\d_]+")
 EXCEPTIONS = ("clown fish", "clown car", "class clown", "trash can", "trash bin", "trash bag", "idiot proof")
@@ -49,10 +53,9 @@ FOUND_ARROW = pa.struct([("weight", pa.float64()), ("hits", pa.int64()), ("n_wor
 
 @dataclass(frozen=True)
 class ToxicitySettings:
-    """Bounds of the training sample and of the lexicon; scoring has none."""
+    """Bounds of the training sample and limits of what counts as evidence; scoring has no bound."""
 
     per_label: int = 4000  # labelled documents of either label, those with the lowest digests
-    entries: int = 3000
     least_documents: int = 5  # toxic documents that must hold an entry
     least_z: float = 5.0
     least_weight: float = 1.0
@@ -61,10 +64,13 @@ class ToxicitySettings:
 
 def fold_text(text: str) -> str:
     """Lower-case words of letters, each with a blank on both sides of it: " first second "."""
-    text = text.lower()
-    if not text.isascii():
-        text = MARKS.sub("", unicodedata.normalize("NFKD", text).translate(LOOK_ALIKES))
-    text = INSIDE_WORD.sub(lambda m: m.group().translate(STAND_INS), text)
+    if text.isascii():
+        text = text.lower()
+    else:
+        # Compatible forms first: they can be capitals.
+        text = MARKS.sub("", unicodedata.normalize("NFKD", text).lower().translate(LOOK_ALIKES))
+    for signs in (AFTER_L, INSIDE_WORD, WORD_END):
+        text = signs.sub(lambda m: "l" if signs is AFTER_L else m.group().translate(STAND_INS), text)
     return f" {NO_LETTERS.sub(' ', text).strip()} "
 
 
@@ -213,7 +219,8 @@ def learn(
     best = entries.select("entry", "d1", z.alias("z"), weight.alias("weight")).where(
         (F.col("d1") >= settings.least_documents) & (F.col("z") >= settings.least_z) & (F.col("weight") >= settings.least_weight)
     )
-    rows = best.orderBy(F.desc("z"), "entry").limit(settings.entries).collect()
+    # No more entries than the sample's toxic documents can support.
+    rows = best.collect()
     lexicon = Lexicon({r["entry"]: r["weight"] for r in rows}, frozenset(f" {e} " for e in EXCEPTIONS), settings=settings)
     lexicon = Lexicon(lexicon.weights, lexicon.exceptions | _exceptions(sample, lexicon), settings=settings)
     found = sample.select("id", "toxic", found_weights(lexicon, "text").alias("f")).select("id", "toxic", "f.*").collect()
@@ -248,8 +255,7 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:
     found = sample.select(F.col("toxic").cast("int"), "text").mapInArrow(phrases, "phrase string, toxic int, n bigint")
     per = found.groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum("n").alias("n"))
     harmless = per.where((F.col("clean") >= lexicon.settings.least_documents) & (F.col("clean") >= 0.95 * F.col("n")))
-    rows = harmless.orderBy(F.desc("clean"), "phrase").limit(lexicon.settings.entries).collect()
-    return frozenset(r["phrase"] for r in rows)
+    return frozenset(r["phrase"] for r in harmless.select("phrase").collect())
 
 
 def found_weights(lexicon: Lexicon, text: str) -> Column:
