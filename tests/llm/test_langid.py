@@ -45,3 +45,37 @@ def test_odd_rows(spark, odd_documents, no_documents):
     empty = train(no_documents)
     assert {r.lang_pred for r in identify(odd_documents, empty).collect()} == {"und"}
     assert identify(no_documents, empty).collect() == []
+
+
+def test_numbers_are_no_letters(spark):
+    texts = ["½ ② ² Ⅷ 10", "x²", "ª", "日本", "", "12 34", "é"]
+    model = train(spark.read.parquet(f"{SF_DIR}/documents.parquet"), LanguageSettings(per_language=20, epochs=1, least_steps=100))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.lang_pred for r in identify(rows, model).collect()}
+    assert [found[i] == "und" for i in range(len(texts))] == [not any(c.isalpha() for c in t) for t in texts]
+
+
+def test_prediction_against_its_definition(spark):
+    """Each subword of a short text looked up by itself."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(60)
+    model = train(docs, LanguageSettings(per_language=20, epochs=1, least_steps=200))
+    for r in identify(docs.where("length(text) < 600"), model).collect():
+        plain = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in f" {r.text.lower()} ").encode()
+        rows = []
+        for size in langid.SUBWORD_BYTES:
+            for i in range(len(plain) - size + 1):
+                key = size
+                for byte in plain[i : i + size]:
+                    key = (key * 257 + byte) % 2**32
+                rows.append(model.table[(key * 2654435761 % 2**32) >> (32 - model.settings.bits)].astype(float))
+        wanted = langid.softmax((np.mean(rows, axis=0) + model.bias) / model.temperature)
+        assert r.lang_pred == model.languages[wanted.argmax()] and abs(r.score - wanted.max()) < 1e-6
+
+
+def test_sample_is_bounded_over_all_languages(spark):
+    rows = [(i, f"word{i % 50} " * 3000, f"l{i % 50:02d}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    settings = LanguageSettings(most_documents=100, learned_bytes=500)
+    sample = langid._sample(docs, settings, "text", "lang", "doc_id").collect()
+    assert len(sample) == 100 and len({r.lang for r in sample}) == 50
+    assert max(len(b["buckets"]) for r in sample for b in r.bags) <= 4 * 2 * 502

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tidegauge.llm.common import digest_sample, fresh, quoted, stored
 
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile(r"[A-Za-z]")
 # ASCII other than letters turns into blanks, which mark where words begin and end.
 LETTERS_ONLY = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 SUBWORD_BYTES = (3, 4)
@@ -43,6 +43,8 @@ class LanguageSettings:
     """Bounds and rates of the training; the sample is the only bounded part."""
 
     per_language: int = 600  # labelled documents per language, those with the lowest digests
+    most_documents: int = 4800  # of all languages together, with equal parts
+    learned_bytes: int = 8192  # a longer document teaches with a part of so many bytes, at a place its digest names
     bits: int = 16  # 2 ** bits buckets
     dim: int = 16
     epochs: int = 4
@@ -54,6 +56,11 @@ class LanguageSettings:
     seed: int = 11
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter: numbers in any form, such as fractions or raised digits, are none."""
+    return bool(ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 def subword_buckets(data: bytes, bits: int) -> Iterator[np.ndarray]:
     """Hash buckets of all subwords of a lower-case text, in blocks: a long text is never expanded whole."""
     data = b" " + data.translate(LETTERS_ONLY) + b" "
@@ -99,7 +106,7 @@ class LanguageModel:
         return softmax((total / max(n, 1) + self.bias) / self.temperature)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNDETERMINED, 0.0, True
         found = self.probabilities(text.lower().encode("utf-8", "replace"))
         best = int(found.argmax())
@@ -116,7 +123,10 @@ def _sample(docs: DataFrame, settings: LanguageSettings, text: str, lang: str, r
     """Bags of a bounded sample: lang, digest, bags. Texts are read for chosen rows only."""
     known = docs.where(F.col(quoted(lang)).isNotNull() & F.col(quoted(text)).isNotNull())
     known = known.select(F.col(quoted(row_id)).alias("id"), F.col(quoted(lang)).cast("string").alias("lang"))
-    chosen = digest_sample(known, "lang", settings.per_language, settings.seed, "id")
+    # One number reaches the driver.
+    n_languages = max(1, known.agg(F.count_distinct("lang")).first()[0])
+    per_language = max(1, min(settings.per_language, settings.most_documents // n_languages))
+    chosen = digest_sample(known, "lang", per_language, settings.seed, "id")
     chosen = chosen.select("id", "lang", F.xxhash64(F.lit(settings.seed), "id").alias("digest"))
     # per_language rows for each language at most.
     chosen = F.broadcast(stored(chosen.distinct(), "language_sample"))
@@ -126,10 +136,10 @@ def _sample(docs: DataFrame, settings: LanguageSettings, text: str, lang: str, r
         rows = []
         for t, digest in zip(texts, digests.to_pylist()):
             data = t.as_py().lower().encode("utf-8", "replace")
-            at = digest % max(1, len(data) - settings.piece_bytes)
+            begins = [digest % max(1, len(data) - n) for n in (settings.learned_bytes, settings.piece_bytes)]
             rows.append([])
-            for part in (data, data[at : at + settings.piece_bytes]):
-                buckets, counts = bag(part, settings.bits)
+            for at, n in zip(begins, (settings.learned_bytes, settings.piece_bytes)):
+                buckets, counts = bag(data[at : at + n], settings.bits)
                 packed = buckets.astype(np.int32).tobytes(), counts.astype(np.float32).tobytes()
                 rows[-1].append(dict(zip(("buckets", "counts"), packed)))
         kind = pa.struct([("buckets", pa.binary()), ("counts", pa.binary())])
@@ -147,8 +157,9 @@ def train(
 ) -> LanguageModel:
     """Fit on a bounded sample of the rows with a language; see :class:`LanguageSettings`.
 
-    The sample's bags are brought to the driver: at most 2 * per_language rows of
-    bounded size for each language. Without labelled rows the model knows no language.
+    The sample's bags are brought to the driver: at most ``most_documents`` rows, or one for
+    each language, whose size ``learned_bytes`` bounds. Without labelled rows the model
+    knows no language.
     """
     rows = _sample(docs, settings, text, lang, row_id).collect()
     rows = sorted(rows, key=lambda r: (r["digest"], r["id"], r["lang"]))
