@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidegauge.llm.license_texts import TEMPLATES
-from tidegauge.llm.licenses import LicenseIndex, LicenseSettings, align, scan, winnow
+from tidegauge.llm.licenses import PLAIN, LicenseIndex, LicenseSettings, align, scan, winnow
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +69,85 @@ def test_winnow_guarantee():
 
 def test_odd_rows(odd_documents, no_documents):
     assert scan(odd_documents).collect() == [] == scan(no_documents).collect()
+
+
+def enough(index, name, words, diagonal):
+    """Whether alignment at the true place covers enough of a template and names it."""
+    t = index.names.index(name)
+    band = index.band(t)
+    begin = diagonal - band
+    part = np.concatenate([np.full(max(0, -begin), -1), words[max(0, begin) : diagonal + len(index.words[t]) + band]])
+    matched, first, last = align(index.words[t], part, band)
+    return matched >= index.settings.least_coverage * len(index.words[t]) and index.named(t, words[begin + first : begin + last + 1])
+
+
+def plain_words(index, text):
+    return np.array([index.numbers.get(w, 0) for w in text.encode().translate(PLAIN).split()])
+
+
+@pytest.mark.parametrize("name", list(TEMPLATES))
+def test_one_changed_word_at_every_place(index, name):
+    words = TEMPLATES[name].split()
+    # All places of a notice, some of a long text.
+    for at in range(0, len(words), 1 + len(words) // 16):
+        for new in ([], ["changed"], [words[at], "inserted"]):
+            text = " ".join(["some", "text", "first", *words[:at], *new, *words[at + 1 :], "then", "more"])
+            licenses = [f["license"] for f in index.find(text.encode())]
+            if enough(index, name, plain_words(index, text), 3):
+                assert licenses, (at, new)
+                # Another template may cover as much of what is left, but none is found besides.
+                assert licenses == [name] or len(licenses) == 1, (at, new, licenses)
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("name", list(TEMPLATES))
+def test_as_many_changes_as_the_coverage_allows(index, name, seed):
+    """Changed and dropped words: whatever alignment accepts, the fingerprints find."""
+    random = np.random.default_rng(seed)
+    words = TEMPLATES[name].split()
+    t = index.names.index(name)
+    n = len(index.words[t])
+    for at in random.choice(len(words), int(n * 0.3), replace=False):
+        words[at] = random.choice(["", "other"])
+    text = "before " * 9 + " ".join(words) + " after" * 9
+    if enough(index, name, plain_words(index, text), 9):
+        assert index.find(text.encode())
+
+
+@pytest.mark.parametrize(
+    "text,licenses",
+    [
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0 notice"]),
+        ("This work is licensed under the GNU General Public License, version 4.", []),
+        ("Licensed under the Apache License, Version 1.1.", ["Apache-1.1 notice"]),
+        ("Licensed under the Apache License, Version 1.0.", []),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0 notice"]),
+        ("Licensed under CC BY-SA 4.0.", []),
+        ("Released under the WTF License.", []),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License.", []),
+        (TEMPLATES["GPL-3.0-or-later"].replace("version 3", "version 2"), ["GPL-2.0-or-later"]),
+    ],
+)
+def test_versions_and_variants_are_kept_apart(index, text, licenses):
+    assert [f["license"] for f in index.find(f"Before. {text} After.".encode())] == licenses
+
+
+def test_scan_against_every_place(spark, index):
+    """Documents with licenses: each template aligned at every place of the text, without fingerprints."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    made = {}
+    for r in scan(spark.createDataFrame(docs)).collect():
+        made.setdefault(r.doc_id, set()).add(r.license)
+    for doc in docs:
+        words = plain_words(index, doc.text)
+        places = set()
+        known = np.flatnonzero(words > 0)
+        for t, template in enumerate(index.words):
+            if len(template) > 20:
+                continue
+            for at in known.tolist():
+                part = words[at : at + len(template) + index.band(t)]
+                if longest_common(template.tolist(), part.tolist()) >= 0.7 * len(template) and index.named(t, part):
+                    places.add(index.names[t])
+        assert bool(places) == bool(made.get(doc.doc_id)) and made.get(doc.doc_id, set()) <= places, doc.doc_id

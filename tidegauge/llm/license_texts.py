@@ -54,4 +54,58 @@ TEMPLATES: dict[str, str] = {
     """,
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1 notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0 notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "Apache-1.1 notice": "Licensed under the Apache License, Version 1.1.",
+    "BSD-2-Clause notice": "Released under the BSD 2-Clause License.",
+    "BSD-3-Clause notice": "Released under the BSD 3-Clause License.",
+    "GPL-2.0-or-later": """
+        This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation; either version 2 of the License, or (at your
+        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+        General Public License for more details. You should have received a copy of the GNU General Public License along
+        with this program; if not, see <https://www.gnu.org/licenses/>.
+    """,
+    "LGPL-3.0-or-later": """
+        This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+        Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public
+        License along with this library. If not, see <https://www.gnu.org/licenses/>.
+    """,
+    "AGPL-3.0-or-later": """
+        This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+        Affero General Public License for more details. You should have received a copy of the GNU Affero General Public
+        License along with this program. If not, see <https://www.gnu.org/licenses/>.
+    """,
+    "BSD-2-Clause": """
+        Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: Redistributions of source code must retain the above copyright notice, this list
+        of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials
+        provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+        ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+        FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+    """,
+    "Unlicense": """
+        This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means.
+    """,
 }
+
+# Words without which a text is under another license. Numbers of a template are always such words.
+NAMING_WORDS = frozenset(
+    "mit apache gnu lesser affero bsd mozilla nc sharealike noncommercial noderivatives unencumbered endorse".split()
+)

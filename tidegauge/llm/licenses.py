@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.llm.common import quoted, text_or_empty
-from tidegauge.llm.license_texts import TEMPLATES
+from tidegauge.llm.license_texts import NAMING_WORDS, TEMPLATES
 
 # Letters in lower case, other signs as blanks: places in the text stay what they are.
 PLAIN = bytes((c + 32 if 65 <= c <= 90 else c) if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -36,8 +36,9 @@ FOUND_ARROW = pa.list_(
 
 @dataclass(frozen=True)
 class LicenseSettings:
-    gram_words: int = 3
-    window: int = 3  # fingerprints: the smallest hash of each run of this many
+    gram_words: int = 2
+    window: int = 2  # fingerprints: the smallest hash of each run of this many
+    short_words: int = 64  # templates up to this length keep all fingerprints
     band: int = 12  # words that may be missing or inserted, at most a fifth of the template
     least_coverage: float = 0.7
 
@@ -93,23 +94,52 @@ def align(template: np.ndarray, words: np.ndarray, band: int) -> tuple[int, int,
 
 
 class LicenseIndex:
-    """Templates as numbered words, and an inverted index from fingerprints to their places."""
+    """Templates as numbered words, and an inverted index from fingerprints to their places.
+
+    Edits of ``k`` words leave a template of ``n`` words in ``k + 1`` unchanged runs at most. A
+    short template keeps all its grams of two words, so at least n - 2 k - 1 of them are found
+    again; of a longer one every run of three words keeps a fingerprint, so at least
+    (n - 3 k - 2) / 2 are. As many must be found close to one diagonal, for the most edits
+    that ``least_coverage`` allows: no text within them is missed, and few others are aligned.
+    """
 
     def __init__(self, templates: dict[str, str], settings: LicenseSettings) -> None:
         self.names = list(templates)
         self.settings = settings
         self.numbers: dict[bytes, int] = {}
-        self.words = [
-            np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in text.encode().translate(PLAIN).split()])
-            for text in templates.values()
-        ]
-        places = []
+        texts = [text.encode().translate(PLAIN).split() for text in templates.values()]
+        self.words = [np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in text]) for text in texts]
+        # What must be in the span of a match: numbers, in order where they follow each other, and naming words.
+        self.needed = [self._needed(text) for text in texts]
+        places, least_hits = [], []
         for t, words in enumerate(self.words):
-            grams = self.grams(words)
-            places += [(grams[j], t, j) for j in winnow(_mixed(grams), settings.window)]
+            grams, edits = self.grams(words), int(len(words) * (1 - settings.least_coverage))
+            short = len(words) <= settings.short_words
+            chosen = winnow(_mixed(grams), 1 if short else settings.window)
+            places += [(grams[j], t, j) for j in chosen]
+            left = len(words) - 2 * edits - 1 if short else (len(words) - 3 * edits - 2) // 2
+            least_hits.append(max(1, min(left, len(chosen))))
         places.sort()
         self.keys = np.array([p[0] for p in places], np.int64)
-        self.places = np.array([p[1:] for p in places]).reshape(-1, 2)
+        self.places = np.array([p[1:] for p in places], np.int64).reshape(-1, 2)
+        self.least_hits = np.array(least_hits, np.int64)
+
+    def _needed(self, text: list[bytes]) -> list[list[int]]:
+        runs: list[list[int]] = []
+        for i, word in enumerate(text):
+            if word.isdigit():
+                if i and text[i - 1].isdigit():
+                    runs[-1].append(self.numbers[word])
+                else:
+                    runs.append([self.numbers[word]])
+            elif word.decode() in NAMING_WORDS:
+                runs.append([self.numbers[word]])
+        return [r for i, r in enumerate(runs) if r not in runs[:i]]
+
+    def named(self, t: int, words: np.ndarray) -> bool:
+        """Whether the words of a match hold what makes it this license and no other version."""
+        spelled = words.tolist()
+        return all(any(spelled[i : i + len(r)] == r for i in range(len(spelled) - len(r) + 1)) for r in self.needed[t])
 
     def band(self, t: int) -> int:
         return min(self.settings.band, max(1, len(self.words[t]) // 5))
@@ -127,20 +157,35 @@ class LicenseIndex:
         return np.where(known, packed, -1)
 
     def seeds(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(template, diagonal) of each candidate; diagonals within half a band are one."""
+        """(template, diagonal) of each candidate: places with enough fingerprints within a band of diagonals."""
         grams = self.grams(words)
         low, high = np.searchsorted(self.keys, grams, "left"), np.searchsorted(self.keys, grams, "right")
         hits = np.flatnonzero(high > low)
-        found: dict[int, list[int]] = {}
-        for i in hits:
-            for t, j in self.places[low[i] : high[i]]:
-                found.setdefault(int(t), []).append(int(i) - int(j))
-        for t, diagonals in found.items():
-            last = None
-            for d in sorted(diagonals):
-                if last is None or d - last > self.band(t) // 2:
-                    yield t, d
-                    last = d
+        n = high[hits] - low[hits]
+        # Every place of every fingerprint that is found: its template, its place there, and the diagonal.
+        which = np.repeat(low[hits] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        template, place = self.places[which].T
+        diagonal = np.repeat(hits, n) - place
+        counts = np.bincount(template, minlength=len(self.words))
+        for t in np.flatnonzero(counts >= self.least_hits).tolist():
+            own = template == t
+            yield from ((t, d) for d in self._close(diagonal[own], place[own], self.band(t), int(self.least_hits[t])))
+
+    @staticmethod
+    def _close(diagonal: np.ndarray, place: np.ndarray, band: int, least: int) -> Iterator[int]:
+        """Diagonals around which ``least`` different places lie within a band."""
+        order = np.argsort(diagonal, kind="stable")
+        diagonal, place = diagonal[order], place[order]
+        ends = np.searchsorted(diagonal, diagonal + band, "right")
+        done = None
+        for start in np.flatnonzero(ends - np.arange(len(ends)) >= least).tolist():
+            if done is not None and diagonal[start] <= done:
+                continue
+            # A fingerprint that is found twice counts once.
+            if len(np.unique(place[start : ends[start]])) >= least:
+                middle = int(diagonal[(start + ends[start]) // 2])
+                yield middle
+                done = max(int(diagonal[start]), middle - band // 2)
 
     def find(self, data: bytes) -> list[dict]:
         """The licenses of a text that are covered well enough; of overlapping ones the longest stays."""
@@ -154,8 +199,11 @@ class LicenseIndex:
             part = words[max(0, begin) : diagonal + len(template) + band]
             if begin < 0:
                 part = np.concatenate([np.full(-begin, -1), part])
+            if not self.named(t, part):
+                continue
             matched, first, last = align(template, part, band)
-            if matched >= self.settings.least_coverage * len(template):
+            enough = matched >= self.settings.least_coverage * len(template)
+            if enough and self.named(t, words[begin + first : begin + last + 1]):
                 found.append((matched, begin + first, begin + last, t))
         if not found:
             return []
@@ -189,7 +237,8 @@ def scan(
 
     ``coverage`` is the share of the template's words found in order; ``start`` and
     ``stop`` count characters of the whole text. Case, punctuation and line breaks do
-    not matter. Texts without a license, null and empty texts have no row. Repeated rows
+    not matter. A match must hold the numbers and naming words of its template, so another
+    version or variant is not taken for it. Texts without a license, null and empty texts have no row. Repeated rows
     repeat their findings. Other columns are ignored. The templates are fixed and small,
     so each task holds their index; nothing is shuffled.
     """
