@@ -537,6 +537,24 @@ ALL: dict[str, str] = {
         case when p is null then 0e0 else round(reach / (n * m)::double, 6) end as ks_stat,
         round(coalesce(least(p, 1e0), 1e0), 6) as p_raw
       from tests left join exact using (nation, segment)""",
+    "ks_exact_report": f"""{VECTOR_DRIFT.replace("with ", "with recursive ", 1)},
+      tests as (select feature, n_ref::bigint as n, n_cur::bigint as m, round(ks_stat * n_ref * n_cur)::bigint as reach
+        from guarded where feature <> 'pred'),
+      walk as (
+        select feature, n, m, reach, 0::bigint as s, list_transform(range(0, n + 1), lambda i: 0e0) as met
+        from tests where n >= 20 and m >= 20
+        union all
+        select feature, n, m, reach, s + 1, list_transform(range(0, n + 1), lambda i:
+          case when i > s + 1 or s + 1 - i > m then 0e0
+            when abs(i * m - (s + 1 - i) * n) >= reach then 1e0
+            else (i * case when i > 0 then met[i] else 0e0 end + (s + 1 - i) * met[i + 1]) / (s + 1) end)
+        from walk where s < n + m),
+      exact as (select feature, met[n + 1] as p from walk where s = n + m)
+      select g.feature, g.n_ref, g.n_cur, round(g.ks_stat, 6) as ks_stat, round(least(coalesce(x.p, 1e0), 1e0), 6) as p_raw,
+        least(coalesce(x.p, 1e0), 1e0) <= 0.05e0 as sig_none
+      from guarded g left join exact x using (feature) where g.feature <> 'pred'""",
+    "approximate_edges": f"""{EXACT_LINE_DRIFT} select feature, i::int as i, n_ref as n, true as within_error
+      from ref_n, (select unnest(range(0, 11)) as i) where feature <> 'pred'""",
     "flag_none": _of_features(VECTOR_DRIFT, "feature, round(p_raw, 6) as p_raw, sig_none as significant"),
     "flag_bonferroni": _of_features(VECTOR_DRIFT, "feature, round(p_raw, 6) as p_raw, sig_bonferroni as significant"),
     "flag_bh": _of_features(VECTOR_DRIFT, "feature, round(p_raw, 6) as p_raw, sig_bh as significant"),
@@ -616,6 +634,9 @@ ALL: dict[str, str] = {
     "report_roundtrip": f"{CALIBRATION} select * from calibrated",
     "csv_transactions": f"""with {TX} select t.card1, t."TransactionID", t."TransactionAmt", t."P_emaildomain", p.id_01, p.id_02,
       (p.card1 is not null)::tinyint as has_identity from tx t left join people p on t.card1 = p.card1""",
+    "csv_first_transactions": f"""with {TX}, first_rows as (select * from tx order by "TransactionID" limit 500)
+      select t.card1, t."TransactionID", t."TransactionAmt", t."P_emaildomain", p.id_01, p.id_02,
+      (p.card1 is not null)::tinyint as has_identity from first_rows t left join people p on t.card1 = p.card1""",
     "promotion_gate": f"""{MODELS} select model_version, round(val_auc, 6) as val_auc, n_train, val_auc_ok, n_features_ok,
       train_rows_ok, model_loads, val_auc_ok and n_features_ok and train_rows_ok and model_loads as deployable from gated""",
     "promotion_gate_failures": f"""with {DRIFTING},

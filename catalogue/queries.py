@@ -14,13 +14,14 @@ from catalogue.inputs import EMBEDDING_FEATURES, LINE_FEATURES, TRANSACTION_FEAT
 from tidegauge.operators import features as feat
 from tidegauge.operators.compare import compare, features_only, missing_columns, top_drifted, verdict, worst_missing
 from tidegauge.operators.contract import accepted, overlay_defaults, rejected, with_contract, with_decision
-from tidegauge.operators.exact import categorical_psi, exact_compare
+from tidegauge.operators.exact import categorical_psi, exact_compare, value_counts
 from tidegauge.operators.gate import evaluate_gates
 from tidegauge.operators.ordering import RowOrder, Splits, baseline_batch, baseline_cut, id_levels
 from tidegauge.operators.profile import PREDICTION, Profile, build_profile, decile_edges, missing_rates, monitored_features
 from tidegauge.operators.ranking import roc_auc, rolling_mean
 from tidegauge.operators.sampling import row_hash
 from tidegauge.operators.scoring import fit_probe, importance, score
+from tidegauge.operators.sketches import merged, quantile_sketches, sketch_edges
 from tidegauge.operators.whatif import default_scenarios, null_out, overwrite_cohort, rescale_amount, share_of_rows
 from tidegauge.plans import validation
 from tidegauge.session import scratch_path
@@ -148,6 +149,26 @@ def decile_edges_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(edges.select("feature", F.posexplode("edges").alias("i", "edge")), edge=6)
 
 
+def approximate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from sketches of each return flag's lines, merged, next to the ranks that all values give them."""
+    base, _ = inputs.line_batches(spark, sf_dir)
+    parts = quantile_sketches(base, LINE_FEATURES, ["l_returnflag"])
+    path = scratch_path(spark, "sketches")
+    parts.write.parquet(path)
+    edges = sketch_edges(merged(spark.read.parquet(path)), DriftSettings.psi_bins)
+    counts = value_counts(base, LINE_FEATURES).where("value IS NOT NULL")
+    named = counts.withColumn("feature", F.element_at(F.lit(LINE_FEATURES), F.col("slot") + 1))
+    # The ranks that an edge may have: from the share of values below it to that of values up to it.
+    ranks = named.join(F.broadcast(edges), "feature").groupBy("feature", "i", "rank_error").agg(
+        (F.sum(F.when(F.col("value") < F.col("edge"), F.col("n")).otherwise(0)) / F.sum("n")).alias("low"),
+        (F.sum(F.when(F.col("value") <= F.col("edge"), F.col("n")).otherwise(0)) / F.sum("n")).alias("high"),
+        F.sum("n").alias("n"),
+    )
+    # Three times the error that 99 of 100 quantiles keep.
+    near = (F.col("low") <= F.col("i") / 10 + 3 * F.col("rank_error")) & (F.col("high") >= F.col("i") / 10 - 3 * F.col("rank_error"))
+    return ranks.select("feature", "i", "n", near.alias("within_error"))
+
+
 def psi_by_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(line_comparison(spark, sf_dir).select("feature", "n_ref", "n_cur", "psi"), psi=6)
 
@@ -165,14 +186,20 @@ def flags(correction: str) -> Query:
     return query
 
 
-def embedding_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+def embedding_comparison(spark: SparkSession, sf_dir: str, settings: DriftSettings = DriftSettings()) -> DataFrame:
     """Many features: the first 40% of the vectors against the rest, some of it shifted."""
     rows = inputs.vectors(spark, sf_dir).withColumn("h", row_hash(SEED, "vec_id"))
     order = RowOrder(id_levels("vec_id"))
     splits = Splits.find(rows, order, lambda n: F.array(F.floor(n * F.lit(BASELINE_FRACTION)).cast("bigint")))
     live = rows.where(splits.from_(0)).withColumns({f"e{i}": F.col(f"e{i}") + 0.005 * i for i in range(0, 64, 4)})
     profile = build_profile(rows.where(splits.before(0)), EMBEDDING_FEATURES, "pred", "h").checkpoint()
-    return compare(live, profile, "pred")
+    return compare(live, profile, "pred", settings=settings)
+
+
+def ks_exact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact p-values of many features, wherever both sides have at most 10,000 values."""
+    rows = features_only(embedding_comparison(spark, sf_dir, DriftSettings(ks_exact_at_most=10_000)))
+    return rounded(rows.select("feature", "n_ref", "n_cur", "ks_stat", "p_raw", "sig_none"), ks_stat=6, p_raw=6)
 
 
 def missing_rate_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,13 +441,19 @@ def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_report(spark, path, written.schema)
 
 
-def csv_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def csv_transactions(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
     tx_path, id_path = scratch_path(spark, "tx"), scratch_path(spark, "identity")
     tx = inputs.transactions(spark, sf_dir).select("TransactionID", "TransactionAmt", "card1", "P_emaildomain")
     people = inputs.identity(spark, sf_dir)
     tx.write.option("header", "true").csv(tx_path)
     people.write.option("header", "true").csv(id_path)
-    return tables.read_transactions(spark, tx_path, id_path, tx.schema, people.schema, key="card1")
+    order = ["TransactionID"] if rows is not None else []
+    return tables.read_transactions(spark, tx_path, id_path, tx.schema, people.schema, key="card1", rows=rows, order=order)
+
+
+def csv_first_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of a file; how many is what is asked for."""
+    return csv_transactions(spark, sf_dir, rows=500)
 
 
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -695,10 +728,12 @@ ALL: dict[str, Query] = {
     "decision_lift": decision_lift,
     "missing_rate": missing_rate,
     "decile_edges": decile_edges_query,
+    "approximate_edges": approximate_edges,
     "psi_by_feature": psi_by_feature,
     "ks_by_feature": ks_by_feature,
     "flag_none": flags("none"),
     "ks_small_batch": ks_small_batch,
+    "ks_exact_report": ks_exact_report,
     "flag_bonferroni": flags("bonferroni"),
     "flag_bh": flags("bh"),
     "missing_rate_shift": missing_rate_shift,
@@ -731,6 +766,7 @@ ALL: dict[str, Query] = {
     "prediction_log_roundtrip": prediction_log_roundtrip,
     "report_roundtrip": report_roundtrip,
     "csv_transactions": csv_transactions,
+    "csv_first_transactions": csv_first_transactions,
     "promotion_gate": promotion_gate,
     "registry_records": registry_records,
     "promotion_gate_failures": promotion_gate_failures,

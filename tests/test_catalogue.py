@@ -1,50 +1,23 @@
 """Queries against their SQL at the smallest scale.
 
-The slowest repeat what others cover; TIDEGAUGE_ALL_QUERIES=1 runs those too, and
+All queries of the catalogue run; those of the text operators have tests of their own.
 ``python -m tests.oracle_check`` runs any of them at any scale.
 """
 
-import os
-
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from catalogue import queries as catalogue_queries
 from tests.oracle_check import connect, differences
 
 SF_DIR = "/root/testdata/sf0.001"
-QUICK = [
-    "join_identity",
-    "calendar_amount_features",
-    "category_codes",
-    "entity_key_frequency",
-    "conform_schema",
-    "prepare_features",
-    "contract_check",
-    "contract_rejects",
-    "defaults_overlay",
-    "decision_lift",
-    "drift_report",
-    "batch_verdict",
-    "top_drifted",
-    "profile_sample",
-    "window_drift",
-    "roc_auc_by_window",
-    "whatif_cohort",
-    "rolling_prediction_mean",
-    "csv_transactions",
-    "promotion_gate",
-    "registry_records",
-    "stream_window_drift",
-    "stream_score_log",
-]
-
 
 @pytest.fixture(scope="module")
 def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(queries()) if os.environ.get("TIDEGAUGE_ALL_QUERIES") else QUICK)
+@pytest.mark.parametrize("name", list(catalogue_queries.ALL))
 def test_query_agrees_with_sql(spark, duck, name):
     found = queries()[name](spark, SF_DIR).toPandas()
     assert len(found)

@@ -120,7 +120,10 @@ def inner_edges(ranked: DataFrame, bins: int, by: Sequence[str] = ("slot",)) ->
         )
         for i, p in enumerate(places)
     ]
-    met = ranked.where("r > 0").select(*by, F.explode(F.array_compact(F.array(*found))).alias("e"))
+    # Most rows lie at no quantile: a look at the first and last one they could reach tells.
+    reach = [F.try_divide((F.col("before") + c) * F.lit(float(bins)), last) for c in (F.lit(-1), F.col("r"))]
+    can = F.coalesce(F.ceil(reach[0] - 1e-6) <= F.floor(reach[1] + 1e-6), F.lit(True))
+    met = ranked.where(F.col("r") > 0).where(can).select(*by, F.explode(F.array_compact(F.array(*found))).alias("e"))
     ends = met.groupBy(*by, "e.i").agg(F.max("e.low").alias("low"), F.max("e.high").alias("high"), F.max("e.share").alias("share"))
     edge = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(
         F.col("low") + (F.col("high") - F.col("low")) * F.col("share")
