@@ -83,3 +83,17 @@ def test_odd_rows(odd_documents, no_documents, no_labels):
     assert len(rows) == odd_documents.count()
     assert all(r.base_failed for r in rows if r.n_words < 50)
     assert apply_rules(no_documents, no_labels).collect() == []
+
+
+def test_cutoffs_that_act_agree_with_sql(spark):
+    """At sf0.01 only a looser risk is provable: with it cutoffs exist and reject documents."""
+    from tests.oracle_check import connect, differences
+    from tidegauge.llm import oracle
+
+    settings = RiskSettings(false_rejection=0.4, alpha=0.4)
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    found = apply_rules(docs, labels, settings).toPandas()
+    found["failed_rules"] = found.failed_rules.map(",".join)
+    sql = oracle.OP2_QUALITY_RULES.replace("0.0125e0", "0.1e0").replace("0.05e0", "0.4e0")
+    assert differences(found, connect(SF_DIR).execute(sql).df()) == []
+    assert ((found.failed_rules != "") & ~found.base_failed).sum() > 20 and found.failed_rules.nunique() > 2
