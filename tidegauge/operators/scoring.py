@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegauge.session import working_folder
 from tidegauge.settings import SEED
 
+CHECKPOINT_TREES = 20
+
 
 def score(df: DataFrame, model: PipelineModel, into: str = "pred") -> DataFrame:
     """Add the positive class's probability from a fitted pipeline."""
@@ -41,9 +44,21 @@ def score_external(
 
 
 def fit_probe(
-    df: DataFrame, features: Sequence[str], label: str, trees: int = 400, depth: int = 6, seed: int = SEED
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    trees: int = 400,
+    depth: int = 6,
+    seed: int = SEED,
+    columns_share: float = 0.7,
 ) -> PipelineModel:
-    """Gradient-boosted trees on ``df``; missing values are passed on as NaN."""
+    """Gradient-boosted trees on ``df``; missing values are passed on as NaN.
+
+    Each split looks at a random ``columns_share`` of the columns. Every few trees the
+    lineage of the boosting is cut by a checkpoint in the shared folder, so a lost executor
+    does not send hundreds of trees back to the start.
+    """
+    working_folder(df.sparkSession)
     # Fixed values of the probe model's training.
     booster = GBTClassifier(
         featuresCol="_features",
@@ -53,6 +68,8 @@ def fit_probe(
         maxDepth=depth,
         subsamplingRate=0.8,
         minInstancesPerNode=50,
+        featureSubsetStrategy=str(float(columns_share)),
+        checkpointInterval=CHECKPOINT_TREES,
         seed=seed,
     )
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
