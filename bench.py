@@ -36,7 +36,7 @@ HEADLINES = [
 def main(names: list[str]) -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, "bench", **{"spark.sql.shuffle.partitions": cpus})
+    spark = local_session(cpus, "bench", **{"spark.sql.shuffle.partitions": cpus, "spark.ui.showConsoleProgress": "false"})
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count().collect()
     seconds = {}
     for name in names or HEADLINES:

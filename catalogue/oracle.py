@@ -686,6 +686,11 @@ windowed as (""").replace("from cutoff c),", "from rescored c),")} select * from
       {drift(["k"])}, {VERDICT}
       select bk as day, n_rows, n_flagged, round(top_psi, 6) as top_psi, round(pred_psi, 6) as pred_psi,
         len(reasons) > 0 as drifted from reasoned""",
+    # A table of one file arrives as one micro-batch.
+    "stream_batch_drift": f"""with {LOG_BATCHES}, live as (select 0 as bk, 0 as rk, k, pred from placed),
+      {drift(["k"])}, {VERDICT}
+      select bk::int as batch_id, n_rows, n_flagged, top_feature, round(top_psi, 6) as top_psi, round(pred_psi, 6) as pred_psi,
+        len(reasons) > 0 as drifted from reasoned""",
     "stream_replay_drift": f"""with {LOG_BATCHES}, live as (select date_trunc('week', ts)::date as bk, 0 as rk, k, pred from placed),
       {drift(["k"])}, {VERDICT}
       select bk as week, n_rows, n_flagged, round(top_psi, 6) as top_psi, round(pred_psi, 6) as pred_psi,
