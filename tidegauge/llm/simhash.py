@@ -187,10 +187,15 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     per_row = found.groupBy("doc_id", "text_hash", "component").agg(F.count(F.lit(1)).alias("n_rows"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     winners = per_row.groupBy("component").agg(F.min(order).alias("first")).select(
-        "component", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")
+        F.col("component").alias("of"), F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")
     )
-    wins = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
-    verdicts = per_row.join(winners, "component").select("doc_id", "text_hash", wins.alias("wins"), "n_rows")
+    # Joined by the whole winner, so the rows of a large component are not one key.
+    same = [
+        F.col("component") == F.col("of"),
+        F.col("doc_id").eqNullSafe(F.col("first_id")),
+        F.col("text_hash").eqNullSafe(F.col("first_hash")),
+    ]
+    verdicts = per_row.join(winners, same, "left").select("doc_id", "text_hash", F.col("of").isNotNull().alias("wins"), "n_rows")
     # Only documents that go or that have equal rows: plain winners need no entry, so
     # Spark sees the true size of this table and picks the join by it.
     id_, hash_, wins, n_rows, own = fresh(docs, "_id", "_text_hash", "_wins", "_n_rows", "_own_hash")
