@@ -106,3 +106,39 @@ def test_odd_rows(odd_documents, no_documents):
     assert {r.source_size for r in nulls} == {5}
     assert mixing.mix(odd_documents).columns == odd_documents.columns
     assert mixing.mix_amounts(no_documents).collect() == [] == mixing.mix(no_documents).collect()
+
+
+def missed(spark, rows, settings, seed=0):
+    """Words by which the mix of one source misses its target, and the smallest document not taken in the last pass."""
+    docs = spark.createDataFrame([(i, "w " * n, "s") for i, n in enumerate(rows)], "doc_id bigint, text string, source string")
+    found = mixing.mix_amounts(docs.repartition(4), settings).collect()
+    assert [r["size"] for r in sorted(found)] == rows
+    target = found[0].target
+    most = max(r.copies for r in found)
+    return target - sum(r.taken for r in found), [r["size"] for r in found if r.copies < most and r["size"]]
+
+
+@pytest.mark.parametrize("seed", [23, 24, 25])
+@pytest.mark.parametrize("share", [1.6, 0.3])
+def test_a_very_long_document_does_not_end_the_pass(spark, seed, share):
+    """Room that a long document leaves in its block is filled from the blocks behind it."""
+    settings = MixSettings(share=share, block_documents=32, seed=seed)
+    short, skipped = missed(spark, [200] * 1200 + [60_000], settings)
+    assert 0 <= short < 200
+
+
+def test_room_goes_on_through_several_rounds(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN_BLOCKS", 2)
+    random = np.random.default_rng(5)
+    sizes = [int(x) for x in 2 ** random.uniform(0, 14, 400)]
+    for share in (0.2, 0.55, 1.35):
+        short, skipped = missed(spark, sizes, MixSettings(share=share, block_documents=16))
+        assert 0 <= short and (not skipped or short < min(skipped) + 1)
+
+
+def test_shards_are_cut_by_words(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('word ', cast(200 + id % 7 as int)) AS text", "'s' || id % 2 AS source")
+    settings = MixSettings(block_documents=16, shard_words=40_000)
+    parts = mixing.mix(docs, settings).selectExpr("spark_partition_id() AS p", "size(split(text, ' ')) - 1 AS n").groupBy("p").sum("n").collect()
+    words = sorted(r[1] for r in parts)
+    assert len(words) >= 14 and words[-1] < 2 * words[len(words) // 2]

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,8 @@ class MixSettings:
     most_repeats: int = 3
     block_documents: int = 256
     shard_blocks: int = 64
+    shard_words: int = 2_000_000  # a shard has fewer blocks where these would hold more words
+    most_partitions: int = 50_000  # of the shuffle that gathers shards
     seed: int = 23
 
 
@@ -128,22 +130,59 @@ def with_blocks(rows: DataFrame, plan: DataFrame, source: str = "source", digest
     return joined.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), F.col(digest)), F.col("n_blocks")))
 
 
+RUN_BLOCKS = 4096
+
+
 def last_pass(rows: DataFrame) -> DataFrame:
-    """source_no, whole_blocks, chosen: what the unfinished pass of a source takes.
+    """source_no, whole_blocks, place, chosen: what the unfinished pass of a source takes.
 
     Whole blocks in the order of the pass while they fit, and of the block after them
-    the documents (digests) that still fit, in digest order. The place is found by
-    running sums over runs of blocks, then over the blocks of one run, then over the
-    documents of one block, so no step handles all documents of a source.
+    the documents (digests) that still fit, in digest order. The room that is left goes
+    on through the blocks behind it, where only documents that are no larger than the
+    room count, and so on until no such document is left: a very long document is passed
+    over and what is missing is less than the smallest document that was. ``chosen``
+    holds the digests that the block at ``place`` gives; blocks from ``whole_blocks`` on
+    that are not listed give nothing. Places are found by running sums over runs of
+    blocks, then over the blocks of one run, so no step handles all documents of a source.
     """
-    run_blocks = 4096
-    unfinished = rows.where("left_over > 0")
     place = _place(F.col("block"), F.col("n_blocks"), F.col("source_no"), F.col("passes"))
-    blocks = unfinished.groupBy("source_no", "left_over", place.alias("place")).agg(F.sum("size").alias("words"))
-    blocks = stored(blocks.withColumn("run", F.floor(F.col("place") / run_blocks)), "mix_blocks")
+    unfinished = rows.where("left_over > 0").select("source_no", "left_over", "digest", "size", place.alias("place"))
+    unfinished = stored(unfinished, "mix_unfinished")
+    nowhere = unfinished.select("source_no", F.col("left_over").alias("room")).distinct().withColumn("from", F.lit(-1).cast("bigint"))
+    at = _crossings(unfinished.join(nowhere, "source_no"))
+    first = at.select("source_no", F.col("place").alias("whole_blocks"))
+    reached = at.select("source_no", F.col("place").alias("from"), "room", "place")
+    parts = []
+    while True:
+        parts.append(stored(_fitting(unfinished, reached), "mix_parts"))
+        taken = parts[-1].groupBy("source_no").agg(F.sum("taken").alias("taken"))
+        left = reached.join(taken, "source_no", "left").select(
+            "source_no", F.col("place").alias("from"), (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room")
+        )
+        left = stored(left, "mix_room")
+        # Each round ends with less room than the smallest document it passed over, so there are few.
+        behind = unfinished.join(left, "source_no").where("place > from and size > 0 and size <= room")
+        crossed = _crossings(behind)
+        if crossed.isEmpty():
+            break
+        # The room at the start of the round; the block that ends it is the last one looked at.
+        ends = crossed.select("source_no", "place")
+        reached = stored(left.join(ends, "source_no").select("source_no", (F.col("from") + 1).alias("from"), "room", "place"), "mix_reached")
+    listed = parts[0]
+    for more in parts[1:]:
+        listed = listed.unionByName(more)
+    return listed.join(first, "source_no", "right").select("source_no", "whole_blocks", "place", "chosen")
+
+
+def _crossings(rows: DataFrame) -> DataFrame:
+    """Per source the last place that begins within ``room`` (place), and the room left there.
+
+    ``rows`` holds source_no, place, size and room.
+    """
+    blocks = rows.groupBy("source_no", "room", "place").agg(F.sum("size").alias("words"))
+    blocks = stored(blocks.withColumn("run", F.floor(F.col("place") / RUN_BLOCKS)), "mix_blocks")
 
     def crossed(sums: DataFrame, by: str, room: str) -> DataFrame:
-        """Per source the last ``by`` that begins within ``room``, and the room left there."""
         before = Window.partitionBy("source_no").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
         begun = sums.withColumn("_room", F.col(room) - F.coalesce(F.sum("words").over(before), F.lit(0)))
         last = F.max(F.struct(by, "_room"))
@@ -151,15 +190,25 @@ def last_pass(rows: DataFrame) -> DataFrame:
             "source_no", F.col(f"_last.{by}").alias(by), F.col("_last._room").alias("room")
         )
 
-    runs = blocks.groupBy("source_no", "left_over", "run").agg(F.sum("words").alias("words"))
-    at_run = crossed(runs, "run", "left_over")
-    at_block = stored(crossed(blocks.join(at_run, ["source_no", "run"]), "place", "room"), "mix_last")
+    runs = blocks.groupBy("source_no", "room", "run").agg(F.sum("words").alias("words"))
+    at_run = crossed(runs, "run", "room").withColumnRenamed("room", "run_room")
+    return stored(crossed(blocks.join(at_run, ["source_no", "run"]), "place", "run_room"), "mix_crossings")
+
+
+def _fitting(rows: DataFrame, reached: DataFrame) -> DataFrame:
+    """source_no, place, chosen, taken: of the blocks ``from`` to ``place`` the documents that fit into ``room``.
 
-    here = unfinished.withColumn("place", place).join(at_block, ["source_no", "place"])
-    # Equal digests (repeated rows) are taken together or not at all.
-    units = here.groupBy("source_no", "place", "room", "digest").agg(F.sum("size").cast("double").alias("size"))
-    listed = units.groupBy("source_no", "place", "room").agg(F.array_sort(F.collect_list(F.struct("digest", "size"))).alias("units"))
-    start = F.struct(F.col("room").cast("double").alias("room"), F.array().cast("array<bigint>").alias("chosen"))
+    The documents of the blocks before the last one all fit, except where equal digests
+    (repeated rows, taken together or not at all) are larger than the room.
+    """
+    here = rows.join(reached.withColumnRenamed("place", "last"), "source_no").where("place >= from and place <= last and size <= room")
+    units = here.groupBy("source_no", "place", "last", "room", "digest").agg(F.sum("size").cast("double").alias("size"))
+    blocks = units.where("size <= room").groupBy("source_no", "place", "last", "room").agg(
+        F.array_sort(F.collect_list(F.struct("digest", "size"))).alias("units"), F.sum("size").alias("words")
+    )
+    blocks = stored(blocks, "mix_units")
+    before = blocks.where("place < last").groupBy("source_no").agg(F.sum("words").alias("before"))
+    start = F.struct(F.col("open").alias("room"), F.array().cast("array<bigint>").alias("chosen"))
 
     def take(state: Column, unit: Column) -> Column:
         fits = unit["size"] <= state["room"]
@@ -168,9 +217,10 @@ def last_pass(rows: DataFrame) -> DataFrame:
             F.when(fits, F.concat(state["chosen"], F.array(unit["digest"]))).otherwise(state["chosen"]).alias("chosen"),
         )
 
-    return listed.select(
-        "source_no", F.col("place").alias("whole_blocks"), F.aggregate("units", start, take)["chosen"].alias("chosen")
-    )
+    left = F.col("room") - F.coalesce("before", F.lit(0.0))
+    opened = blocks.join(before, "source_no", "left").withColumn("open", F.when(F.col("place") < F.col("last"), F.col("words")).otherwise(left).cast("double"))
+    made = opened.withColumn("end", F.aggregate("units", start, take))
+    return made.select("source_no", "place", "end.chosen", (F.col("open") - F.col("end.room")).alias("taken")).where("size(chosen) > 0")
 
 
 def shard_ranges(
@@ -230,20 +280,26 @@ def _draw(random: np.random.Generator, have: np.ndarray, n: int) -> np.ndarray:
     return drawn
 
 
-def block_draws(spark: SparkSession, rows: DataFrame, plan: DataFrame, settings: MixSettings) -> DataFrame:
-    """(source_no, block, draws): for each block the passes and shards that take it.
+def block_draws(spark: SparkSession, rows: DataFrame, plan: DataFrame, settings: MixSettings) -> tuple[DataFrame, int]:
+    """(source_no, block, draws): for each block the passes and shards that take it; and the number of shards.
 
     A draw names the ``chosen`` digests if it takes only part of the block, else null.
     """
     last = stored(last_pass(rows), "mix_last_pass")
     # One row per source, as in source_plan.
-    quotas = plan.join(last.select("source_no", "whole_blocks", F.size("chosen").alias("n_chosen")), "source_no", "left")
-    parts = F.coalesce(F.col("whole_blocks"), F.lit(0)) + F.when(F.col("n_chosen") > 0, 1).otherwise(0)
-    counted = quotas.select("source_no", (F.col("passes") * F.col("n_blocks") + parts).alias("quota")).collect()
-    ranges, _ = shard_ranges(spark, sorted((r["source_no"], r["quota"]) for r in counted), settings)
+    parts = F.coalesce(F.max("place") + 1, F.max("whole_blocks"))
+    ends = last.groupBy("source_no").agg(F.max("whole_blocks").alias("whole_blocks"), parts.alias("parts"))
+    quotas = plan.join(ends, "source_no", "left")
+    counted = quotas.select(
+        "source_no", "target", (F.col("passes") * F.col("n_blocks") + F.coalesce("parts", F.lit(0))).alias("quota")
+    ).collect()
+    blocks, words = sum(r["quota"] for r in counted), sum(r["target"] for r in counted)
+    by_words = max(1, math.floor(settings.shard_words * blocks / words)) if words else settings.shard_blocks
+    sized_shards = replace(settings, shard_blocks=min(settings.shard_blocks, by_words))
+    ranges, n_shards = shard_ranges(spark, sorted((r["source_no"], r["quota"]) for r in counted), sized_shards)
 
     draws = ranges.withColumn("draw", F.explode(F.sequence("first", F.col("stop") - 1))).join(
-        plan.select("source_no", "n_blocks", "passes"), "source_no"
+        quotas.select("source_no", "n_blocks", "passes", "whole_blocks"), "source_no"
     )
     draws = draws.withColumns({"turn": F.floor(F.col("draw") / F.col("n_blocks")).cast("int"), "place": F.col("draw") % F.col("n_blocks")})
     # Blocks are found from places by listing the places of all blocks of a pass.
@@ -252,11 +308,14 @@ def block_draws(spark: SparkSession, rows: DataFrame, plan: DataFrame, settings:
     blocks = blocks.select(
         "source_no", "turn", "block", _place(F.col("block"), F.col("n_blocks"), F.col("source_no"), F.col("turn")).alias("place")
     )
-    part = last.select("source_no", F.col("whole_blocks").alias("place"), "chosen").join(
+    part = last.where("place is not null").select("source_no", "place", F.col("chosen").alias("_chosen")).join(
         plan.select("source_no", F.col("passes").alias("turn")), "source_no"
     )
     named = draws.join(blocks, ["source_no", "turn", "place"]).join(part, ["source_no", "turn", "place"], "left")
-    return named.groupBy("source_no", "block").agg(F.collect_list(F.struct("turn", "shard", "chosen")).alias("draws"))
+    in_part = (F.col("turn") == F.col("passes")) & (F.col("place") >= F.col("whole_blocks"))
+    chosen = F.when(in_part, F.coalesce("_chosen", F.array().cast("array<bigint>")))
+    named = named.withColumn("chosen", chosen)
+    return named.groupBy("source_no", "block").agg(F.collect_list(F.struct("turn", "shard", "chosen")).alias("draws")), n_shards
 
 
 def _own_draws(digest: str) -> Column:
@@ -277,12 +336,13 @@ def mix_amounts(
     Sizes are words. ``copies`` is how often the mix takes the document, ``taken`` its
     words in the mix, ``shards`` the output shard of each copy. Null and blank texts
     have size 0 and may be copied; a null source is a source of its own. Repeated rows
-    are separate documents with equal fates. Other columns are ignored.
+    are separate documents with equal fates. Other columns are ignored. A source misses
+    its target by less than the smallest document that the last pass passed over.
     """
     rows = stored(sized(docs, id_column, text, source), "mix_sizes")
     plan = source_plan(rows, settings)
     placed = with_blocks(rows, plan)
-    draws = stored(block_draws(docs.sparkSession, placed, plan, settings), "mix_draws")
+    draws = stored(block_draws(docs.sparkSession, placed, plan, settings)[0], "mix_draws")
     joined = placed.join(draws, ["source_no", "block"], "left").withColumn("own", _own_draws("digest"))
     copies = F.size("own").cast("bigint")
     return joined.select(
@@ -305,7 +365,8 @@ def mix(
     """
     rows = stored(sized(docs, id_column, text, source), "mix_sizes")
     plan = source_plan(rows, settings)
-    draws = stored(block_draws(docs.sparkSession, with_blocks(rows, plan), plan, settings), "mix_draws")
+    draws, n_shards = block_draws(docs.sparkSession, with_blocks(rows, plan), plan, settings)
+    draws = stored(draws, "mix_draws")
     # Packed, so that no column of the documents can clash with those of the plan.
     carried = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("doc"))
     carried = carried.select(
@@ -316,5 +377,8 @@ def mix(
     placed = with_blocks(carried, plan)
     taken = placed.join(draws, ["source_no", "block"]).select("doc", "digest", F.explode(_own_draws("digest")).alias("d"))
     keyed = taken.select("doc", F.col("d.shard").alias("shard"), F.xxhash64(F.lit(settings.seed), "digest", "d.turn").alias("order"))
-    return keyed.repartition("shard").sortWithinPartitions("shard", "order").select("doc.*")
+    # Every shard, or run of neighbouring shards, is a partition.
+    n_partitions = min(n_shards, settings.most_partitions)
+    at = F.floor(F.col("shard") * n_partitions / n_shards).cast("int")
+    return keyed.repartitionById(n_partitions, at).sortWithinPartitions("shard", "order").select("doc.*")
 
