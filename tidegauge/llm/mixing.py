@@ -148,8 +148,9 @@ def last_pass(rows: DataFrame) -> DataFrame:
     place = _place(F.col("block"), F.col("n_blocks"), F.col("source_no"), F.col("passes"))
     unfinished = rows.where("left_over > 0").select("source_no", "left_over", "digest", "size", place.alias("place"))
     unfinished = stored(unfinished, "mix_unfinished")
-    nowhere = unfinished.select("source_no", F.col("left_over").alias("room")).distinct().withColumn("from", F.lit(-1).cast("bigint"))
-    at = _crossings(unfinished.join(nowhere, "source_no"))
+    nowhere = unfinished.select("source_no", F.col("left_over").alias("room")).distinct()
+    # One row per source, as in source_plan: sent to the documents, so that a large source is no key.
+    at = _crossings(unfinished.join(F.broadcast(nowhere), "source_no"))
     first = at.select("source_no", F.col("place").alias("whole_blocks"))
     reached = at.select("source_no", F.col("place").alias("from"), "room", "place")
     parts = []
@@ -161,7 +162,7 @@ def last_pass(rows: DataFrame) -> DataFrame:
         )
         left = stored(left, "mix_room")
         # Each round ends with less room than the smallest document it passed over, so there are few.
-        behind = unfinished.join(left, "source_no").where("place > from and size > 0 and size <= room")
+        behind = unfinished.join(F.broadcast(left), "source_no").where("place > from and size > 0 and size <= room")
         crossed = _crossings(behind)
         if crossed.isEmpty():
             break
@@ -201,7 +202,7 @@ def _fitting(rows: DataFrame, reached: DataFrame) -> DataFrame:
     The documents of the blocks before the last one all fit, except where equal digests
     (repeated rows, taken together or not at all) are larger than the room.
     """
-    here = rows.join(reached.withColumnRenamed("place", "last"), "source_no").where("place >= from and place <= last and size <= room")
+    here = rows.join(F.broadcast(reached.withColumnRenamed("place", "last")), "source_no").where("place >= from and place <= last and size <= room")
     units = here.groupBy("source_no", "place", "last", "room", "digest").agg(F.sum("size").cast("double").alias("size"))
     blocks = units.where("size <= room").groupBy("source_no", "place", "last", "room").agg(
         F.array_sort(F.collect_list(F.struct("digest", "size"))).alias("units"), F.sum("size").alias("words")
@@ -218,7 +219,7 @@ def _fitting(rows: DataFrame, reached: DataFrame) -> DataFrame:
         )
 
     left = F.col("room") - F.coalesce("before", F.lit(0.0))
-    opened = blocks.join(before, "source_no", "left").withColumn("open", F.when(F.col("place") < F.col("last"), F.col("words")).otherwise(left).cast("double"))
+    opened = blocks.join(F.broadcast(before), "source_no", "left").withColumn("open", F.when(F.col("place") < F.col("last"), F.col("words")).otherwise(left).cast("double"))
     made = opened.withColumn("end", F.aggregate("units", start, take))
     return made.select("source_no", "place", "end.chosen", (F.col("open") - F.col("end.room")).alias("taken")).where("size(chosen) > 0")
 
