@@ -36,11 +36,10 @@ LOOK_ALIKES = str.maketrans(
     }
 )
 STAND_INS = str.maketrans("0134578@$!|", "oieastbasil")
-INSIDE_WORD = re.compile(r"(?:(?<=[a-z])|(?<![\w@$!|]))[0134578@$!|]+(?=[a-z])")
-# A one stands for i, but after an l at a word's end for another l.
-AFTER_L = re.compile(r"(?<=[a-z]l)1(?![\w@$])")
+SIGNS = re.compile(r"[0134578@$!|]+")
 # "!" and "|" at a word's end are taken for what they are.
-WORD_END = re.compile(r"(?<=[a-z])[0134578@$]+(?![\w@$])")
+END_SIGNS = re.compile(r"[0134578@$]+")
+LOWER = frozenset("abcdefghijklmnopqrstuvwxyz")
 MARKS = re.compile("[̀-ͯ]+")
 NO_LETTERS = re.compile(r"[\W\d_]+")
 EXCEPTIONS = ("clown fish", "clown car", "class clown", "trash can", "trash bin", "trash bag", "idiot proof")
@@ -62,6 +61,21 @@ class ToxicitySettings:
     seed: int = 53
 
 
+def _letters(found: re.Match) -> str:
+    """The letters that a run of signs stands for: between letters, before or after a word's letters."""
+    run, text, begin, end = found.group(), found.string, found.start(), found.end()
+    before, after = text[begin - 1 : begin], text[end : end + 1]
+    if after in LOWER and (before in LOWER or not (before.isalnum() or before == "_")):
+        return run.translate(STAND_INS)
+    if before in LOWER and not (after.isalnum() or after == "_"):
+        last = END_SIGNS.match(run)
+        if last:
+            # A one stands for i, but after an l at a word's end for another l.
+            folded = "l" if last.group() == "1" and text[begin - 2 : begin - 1] in LOWER and before == "l" else last.group().translate(STAND_INS)
+            return folded + run[last.end() :]
+    return run
+
+
 def fold_text(text: str) -> str:
     """Lower-case words of letters, each with a blank on both sides of it: " first second "."""
     if text.isascii():
@@ -69,8 +83,7 @@ def fold_text(text: str) -> str:
     else:
         # Compatible forms first: they can be capitals.
         text = MARKS.sub("", unicodedata.normalize("NFKD", text).lower().translate(LOOK_ALIKES))
-    for signs in (AFTER_L, INSIDE_WORD, WORD_END):
-        text = signs.sub(lambda m: "l" if signs is AFTER_L else m.group().translate(STAND_INS), text)
+    text = SIGNS.sub(_letters, text)
     return f" {NO_LETTERS.sub(' ', text).strip()} "
 
 
