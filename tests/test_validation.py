@@ -146,3 +146,32 @@ def test_reports_of_two_models(spark):
     made = {r.window: r for r in validation.cross_reference(one, other).collect()}
     assert (made[2].model_version, made[2].model_version_other, made[2].agreed) == ("a", "b", False)
     assert made[1].model_version_other is None and made[3].model_version is None and not made[3].agreed
+
+
+def test_null_experiment_compares_halves_with_samples(spark, rows):
+    """Counts of values give what comparing each trial's halves through a profile gives, with missing values."""
+    from tidegauge.settings import DriftSettings
+
+    names = ["C1", "C13", "id_01", "has_identity"]
+    settings = DriftSettings(alpha=0.6, psi_moderate=0.005)
+    halves = random_halves(rows.select("id", *names, "pred"), ["id"], 3, 42)
+    profile = build_profile(halves.where("first_half"), names, "pred", "row_hash", by=["trial"], cap=900).checkpoint()
+    apart = compare(halves.where("NOT first_half"), profile, "pred", ["trial"], settings)
+    runs = validation.null_experiment(rows, names, "pred", ["id"], trials=3, cap=900, settings=settings)
+    expected = sorted(tuple(r) for r in validation._outcomes(apart, settings).collect())
+    assert sorted(tuple(r) for r in runs.collect()) == expected
+    assert any(r[2] for r in expected) and len({r[2:5] for r in expected}) > 1
+
+
+def test_null_experiment_broadcasts_no_profile(spark, rows):
+    """Cut points of all trials, which grow with trials, features and the cap, are neither broadcast nor sent to the driver."""
+    runs = validation.null_experiment(rows, FEATURES, "pred", ["id"], trials=3, cap=1000)
+    assert "cuts" not in runs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_last_sampled_ends_the_sample(spark, rows):
+    from tidegauge.operators.sampling import last_sampled
+
+    found = {r.slot: r["last"] for r in last_sampled(rows, ["C1", "id_01"], "h", 700).collect()}
+    kept = {0: rows.where(f"h <= '{found[0]}'").count(), 1: rows.where(f"h <= '{found[1]}' AND id_01 IS NOT NULL").count()}
+    assert kept == {0: 700, 1: 700} and not last_sampled(rows, ["C1"], "h", 3001).count()
