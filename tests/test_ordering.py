@@ -3,8 +3,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from catalogue import inputs
 from tidegauge.operators import ordering
 from tidegauge.operators.ordering import RowOrder, Splits, baseline_batch, baseline_cut, baseline_windows, find_splits, hash_levels, id_levels
 from tidegauge.operators.sampling import counts_by_prefix, random_halves, row_hash, sample_values
@@ -97,3 +99,17 @@ def test_null_keys_come_first_and_no_row_is_lost(spark, fraction):
     assert first | rest == set(range(1000)) and not first & rest
     parts = {r.id for r in splits.with_part(df).where("part = 0").collect()}
     assert parts == first
+
+
+def test_windows_by_deciding_levels_alone(spark):
+    """Comparing with the split keys, days first and digests only on their days, places rows as ranks do."""
+    df = spark.range(2000).select("id", F.when(F.col("id") % 7 > 0, F.expr("date_add(date'2020-01-01', cast(id % 5 as int))")).alias("day"), F.md5(F.col("id").cast("string")).alias("h"))
+    order = RowOrder.by_date("day", hash_levels("h"), deciding=(0, 2))
+    placed = Splits.find(df, order, lambda n: F.array(*[(n * i / 8).cast("bigint") for i in range(8)])).with_part(df)
+    ranked = placed.withColumn("_r", F.row_number().over(Window.orderBy("day", "h")) - 1)
+    assert ranked.where(F.col("part") != F.floor(F.col("_r") / 250) + 1).count() == 0
+    # The digest is only computed where a key has the row's day.
+    lines = inputs.lines(spark, "/root/testdata/sf0.001")
+    placed = Splits.find(lines, inputs.line_order(), baseline_windows(0.4, 8)).with_part(lines, "window").select("l_tax", "window")
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "THEN md5(" in plan and plan.count("md5(") == 1

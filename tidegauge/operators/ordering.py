@@ -24,6 +24,7 @@ from tidegauge.functions.search import count_at_most
 
 ID_GROUP_BITS = 20
 HASH_GROUP_CHARS = 4
+COMPARE_AT_MOST = 16  # splits up to this number are compared with in turn
 RANK_AT_MOST = 1_000_000  # groups up to this size are ranked directly
 
 
@@ -34,15 +35,17 @@ class RowOrder:
     Sorting by all levels in turn, nulls first, is the order, and the last one
     makes rows unique. A level should take a bounded
     number of values within one value of the level above (see the constructors),
-    since those are counted side by side.
+    since those are counted side by side. ``deciding`` are places of levels that make the
+    same order without the others, whose values they imply; none given means all of them.
     """
 
     levels: tuple[Column, ...]
+    deciding: tuple[int, ...] = ()
 
     @staticmethod
-    def by_date(date: str, tie: tuple[Column, ...]) -> RowOrder:
+    def by_date(date: str, tie: tuple[Column, ...], deciding: tuple[int, ...] = ()) -> RowOrder:
         """A column that changes once a day, then ``tie`` levels."""
-        return RowOrder((F.col(date), *tie))
+        return RowOrder((F.col(date), *tie), deciding)
 
     @staticmethod
     def by_time(time: str, tie: tuple[Column, ...]) -> RowOrder:
@@ -198,6 +201,15 @@ class Splits:
         if not self.found.rows:
             return df.withColumn(into, F.lit(0))
         kept, names = df.columns, self.order.names
+        if len(self.found.rows) <= COMPARE_AT_MOST and self.order.deciding[:1] == (0,):
+            # Finer levels, like a digest, are only computed for rows that share the first level of a key.
+            first = self.order.levels[0]
+            tied = first.isin(self.found.literals(names[0])) | first.isNull()
+            places = self.order.deciding[1:]
+            finer = df.withColumns({f"_tie{i}": F.when(tied, self.order.levels[i]) for i in places})
+            levels = [first, *[F.col(f"_tie{i}") for i in places]]
+            reached = [self._reached(slot, levels) for slot in range(len(self.found.rows))]
+            return finer.select(*kept, reduce(lambda a, b: a + b, reached).alias(into))
         packed = self.found.frame().agg(
             F.transform(
                 F.sort_array(F.collect_list(F.struct("slot", *names))),
@@ -207,6 +219,15 @@ class Splits:
         keyed = df.withColumns({"_splits": packed.scalar(), "_key": F.struct(*self.order.columns())})
         return count_at_most(keyed, "_splits", "_key", len(self.found.rows), into).select(*kept, into)
 
+    def _reached(self, slot: int, levels: Sequence[Column]) -> Column:
+        """1 if the split key lies at or before the row with these deciding levels, else 0."""
+        key, out = self.key(slot), F.lit(1)
+        for level, place in reversed(list(zip(levels, self.order.deciding, strict=True))):
+            bound = key[place]
+            after = F.coalesce(level > bound, level.isNotNull() & bound.isNull())
+            out = F.when(after, F.lit(1)).when(level.eqNullSafe(bound), out).otherwise(F.lit(0))
+        return out
+
 
 def _less(levels: Sequence[Column], key: Sequence[Column]) -> Column:
     """Lexicographic ``levels < key``, null before all else; never null itself."""
