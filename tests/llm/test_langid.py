@@ -79,3 +79,13 @@ def test_sample_is_bounded_over_all_languages(spark):
     sample = langid._sample(docs, settings, "text", "lang", "doc_id").collect()
     assert len(sample) == 100 and len({r.lang for r in sample}) == 50
     assert max(len(b["buckets"]) for r in sample for b in r.bags) <= 4 * 2 * 502
+
+
+def test_sampled_bags_are_read_in_place(spark, monkeypatch):
+    """Rows of bags would be pickled in the driver and copied into Python objects."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    frame, collected = type(docs), []
+    plain = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: collected.append(self.columns) or plain(self))
+    model = train(docs, LanguageSettings(per_language=5, epochs=1, least_steps=50))
+    assert model.languages and not [c for c in collected if "bags" in c]

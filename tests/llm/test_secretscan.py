@@ -161,3 +161,27 @@ def test_the_pattern_is_evaluated_once(spark, forest):
     one = secretscan.with_candidates(docs, "cut", path="source").select("cut")._jdf.queryExecution().optimizedPlan()
     count = lambda p: p.toString().count("regexp_extract_all(")
     assert count(plan) == count(one) and "size(" not in "".join(x for x in plan.toString().splitlines() if "Filter" in x)
+
+
+def test_the_driver_makes_a_forest_in_few_calls(spark, monkeypatch):
+    """A call into the JVM for every node and word kept the driver's memory busy."""
+    client, calls = spark.sparkContext._gateway._gateway_client, []
+    plain = client.send_command
+    monkeypatch.setattr(client, "send_command", lambda command, *a, **k: calls.append(1) or plain(command, *a, **k))
+
+    def tree(depth):
+        return 1.0 if depth == 0 else (depth, 1e-05 * depth, tree(depth - 1), 0.0 if depth % 2 else tree(depth - 1))
+
+    forest = secretscan.Forest([tree(6)] * 19 + [0.0], ForestSettings())
+    found = forest.score(F.array(*[F.lit(0.5)] * 24)).alias("score")
+    assert len(calls) < 400
+    calls.clear()
+    secretscan._drawn(F.col("kind"), F.col("number"))
+    assert len(calls) < 4000
+    assert spark.range(1).select(found).first()["score"] == 0.0
+
+
+def test_forest_votes(spark):
+    forest = secretscan.Forest([(0, -1e-05, 1.0, (1, 2.5, 0.0, 1.0)), 1.0, 0.0, (1, 1e10, 0.0, 1.0)], ForestSettings())
+    rows = spark.createDataFrame([([-1.0, 9.0],), ([0.0, 2.5],), ([0.0, 3.0],), ([None, 1e11],)], "f array<double>")
+    assert [r[0] for r in rows.select(forest.score(F.col("f"))).collect()] == [0.5, 0.25, 0.5, 0.75]

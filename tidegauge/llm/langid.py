@@ -157,13 +157,16 @@ def train(
 ) -> LanguageModel:
     """Fit on a bounded sample of the rows with a language; see :class:`LanguageSettings`.
 
-    The sample's bags are brought to the driver: at most ``most_documents`` rows, or one for
-    each language, whose size ``learned_bytes`` bounds. Without labelled rows the model
-    knows no language.
+    The sample's bags are brought to the driver, as Arrow tables that are read in place: at
+    most ``most_documents`` rows, or one for each language, whose size ``learned_bytes``
+    bounds. Without labelled rows the model knows no language.
     """
-    rows = _sample(docs, settings, text, lang, row_id).collect()
-    rows = sorted(rows, key=lambda r: (r["digest"], r["id"], r["lang"]))
-    languages = tuple(sorted({r["lang"] for r in rows}))
+    sample = _sample(docs, settings, text, lang, row_id).toArrow()
+    bags = sample["bags"].combine_chunks()
+    # Digest, id, language and place of the bags.
+    keys = zip(*[sample[c].to_pylist() for c in ("digest", "id", "lang")], range(sample.num_rows))
+    rows = sorted(keys, key=lambda r: r[:3])
+    languages = tuple(sorted({name for _, _, name, _ in rows}))
     if not languages:
         return LanguageModel((), np.zeros((1 << settings.bits, 0)), np.zeros(0), 1.0, settings)
     place = {name: i for i, name in enumerate(languages)}
@@ -171,11 +174,11 @@ def train(
 
     def examples(part: list) -> list[tuple[np.ndarray, np.ndarray, int]]:
         found = []
-        for r in part:
-            for b in r["bags"]:
-                counts = np.frombuffer(b["counts"], np.float32)
+        for *_, name, at in part:
+            for b in bags[at].values:
+                counts = np.frombuffer(b["counts"].as_buffer(), np.float32)
                 if len(counts):
-                    found.append((np.frombuffer(b["buckets"], np.int32), counts / counts.sum(), place[r["lang"]]))
+                    found.append((np.frombuffer(b["buckets"].as_buffer(), np.int32), counts / counts.sum(), place[name]))
         return found
 
     table, bias = _descend(examples(rows[n_held:]), len(languages), settings)

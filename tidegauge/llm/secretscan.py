@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -151,11 +150,13 @@ def _drawn(kind: Column, number: Column) -> dict[str, Column]:
     """A value of every kind, made from the digest of a kind and a number."""
     digest = F.sha2(F.concat(kind, number.cast("string")), 256)
     mixed = F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "Q")
+    # One literal, not one for each word.
+    known = F.split(F.lit(" ".join(DICTIONARY)), " ")
     word = lambda i: F.element_at(
-        F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64(number, F.lit(i)), F.lit(len(DICTIONARY))) + 1).cast("int")
+        known, (F.pmod(F.xxhash64(number, F.lit(i)), F.lit(len(DICTIONARY))) + 1).cast("int")
     )
     letters = F.translate(mixed, "0123456789", "GhKmPrTvXz")
-    pairs = F.array(*[F.lit(c + v) for c, v in zip("bdfklmnprstvghwc", "aeiouaeioaeiouae", strict=True)])
+    pairs = F.split(F.lit(" ".join(c + v for c, v in zip("bdfklmnprstvghwc", "aeiouaeioaeiouae", strict=True))), " ")
     syllables = lambda n: F.array_join(
         F.transform(F.split(F.substring(digest, 20, n), ""), lambda c: F.element_at(pairs, (F.conv(c, 16, 10) + 1).cast("int"))), ""
     )
@@ -228,15 +229,20 @@ class Forest:
     settings: ForestSettings
 
     def score(self, found: Column) -> Column:
-        """The share of trees that call a candidate with these features a secret."""
+        """The share of trees that call a candidate with these features a secret.
 
-        def expression(tree: Tree) -> Column:
+        The trees are one SQL text: a column for each node would cost the driver several
+        calls into the JVM, thousands for a forest.
+        """
+
+        def expression(tree: Tree) -> str:
             if not isinstance(tree, tuple):
-                return F.lit(float(tree))
+                return f"{float(tree)!r}D"
             feature, threshold, low, high = tree
-            return F.when(found[feature] <= threshold, expression(low)).otherwise(expression(high))
+            return f"CASE WHEN f[{feature}] <= {threshold!r}D THEN {expression(low)} ELSE {expression(high)} END"
 
-        return reduce(Column.__add__, map(expression, self.trees)) / len(self.trees)
+        votes = " + ".join(map(expression, self.trees))
+        return F.element_at(F.call_function("transform", F.array(found), F.expr(f"f -> ({votes}) / {len(self.trees)}")), 1)
 
 
 def train(labelled: DataFrame, settings: ForestSettings = ForestSettings()) -> Forest:
