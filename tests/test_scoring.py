@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue import queries
 from tidegauge.operators.profile import monitored_features
 from tidegauge.operators.ranking import roc_auc
 from tidegauge.operators.scoring import fit_probe, importance, score
@@ -21,6 +22,7 @@ def rows(spark):
 
 
 COLUMNS = ["noise", "weak", "strong", "D1"]
+SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +55,28 @@ def test_bundle_keeps_scores_and_metadata(spark, rows, model, tmp_path):
     assert (loaded.model_version, loaded.columns, dict(loaded.defaults)) == ("v9", tuple(COLUMNS), defaults)
     one, two = (score(rows, m).agg(F.sum("pred")).first()[0] for m in (model, loaded.model))
     assert one == pytest.approx(two)
+
+
+def test_probe_reads_its_rows_once(spark, rows):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(value):
+        seen.add(1)
+        return value
+
+    fit_probe(rows.withColumn("weak", watched("weak")), COLUMNS, "y", trees=2, depth=2)
+    assert seen.value == rows.count()
+
+
+def test_probe_degradation_scores_each_line_once(spark, monkeypatch):
+    given = {}
+    monkeypatch.setattr(
+        queries.validation, "degradation", lambda later, verdicts, reference, *names: given.update(later=later, reference=reference)
+    )
+    queries.probe_degradation(spark, SF_DIR)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in given.values()]
+    assert not [p for p in plans if "UDF" in p]
+    lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
+    assert given["later"].count() == lines - int(lines * 0.4)
+    assert 0 < given["reference"].count() < lines * 0.4 and given["reference"].where("h IS NULL").isEmpty()
