@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalogue import queries
+from tidegauge.operators import scoring
 from tidegauge.operators.profile import monitored_features
 from tidegauge.operators.ranking import roc_auc
 from tidegauge.operators.scoring import fit_probe, importance, score
@@ -80,3 +81,41 @@ def test_probe_degradation_scores_each_line_once(spark, monkeypatch):
     lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
     assert given["later"].count() == lines - int(lines * 0.4)
     assert 0 < given["reference"].count() < lines * 0.4 and given["reference"].where("h IS NULL").isEmpty()
+
+
+@pytest.fixture(scope="module")
+def line_folder(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("lines"))
+    n = F.col("id")
+    spark.range(500).select(
+        n.alias("l_orderkey"),
+        F.lit(1).alias("l_linenumber"),
+        (n % 50).alias("l_partkey"),
+        (n % 7).alias("l_suppkey"),
+        F.date_add(F.lit("1995-01-01").cast("date"), (n * 3).cast("int")).alias("l_shipdate"),
+        F.when(n % 3 == 0, "R").otherwise("A").alias("l_returnflag"),
+        F.lit("O").alias("l_linestatus"),
+        (n % 40 + 1.0).alias("l_quantity"),
+        ((n % 40 + 1) * (1000.0 + n * 7919 % 1000)).alias("l_extendedprice"),
+        (n % 11 / 100).alias("l_discount"),
+        (n % 9 / 100).alias("l_tax"),
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["probe_degradation", "probe_fit_importance"])
+def test_probe_queries_fit_all_trees(spark, line_folder, monkeypatch, name):
+    class Reached(Exception):
+        pass
+
+    class Watched:
+        def __init__(self, stages):
+            self.booster = stages[-1]
+
+        def fit(self, rows):
+            raise Reached(self.booster.getMaxIter(), self.booster.getMaxDepth(), self.booster.getStepSize())
+
+    monkeypatch.setattr(scoring, "Pipeline", Watched)
+    with pytest.raises(Reached) as found:
+        getattr(queries, name)(spark, line_folder)
+    assert found.value.args == (400, 6, 0.05)
